@@ -1,0 +1,17 @@
+"""Join helpers shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast `df` only when a bounded count proves it has at most
+    `max_rows` rows; otherwise leave it to a shuffled join.
+
+    The check reads at most max_rows + 1 rows (a LIMIT job), so it costs
+    little even when the side is large.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
