@@ -55,6 +55,11 @@ class FilterError(ValueError):
     """Raised in strict mode for a leaf or group that cannot be compiled."""
 
 
+class UnknownColumnError(LookupError):
+    """A valid identifier that names no column: always an error (the lenient
+    mode only forgives malformed leaves, never a wrong table)."""
+
+
 @dataclass
 class FilterContext:
     """What the compiler needs to know about the frame it filters."""
@@ -72,13 +77,13 @@ class FilterContext:
         for f in self.schema.fields:
             if f.name.lower() == name:
                 return f.dataType
-        raise FilterError(f"unknown column: {name!r}")
+        raise UnknownColumnError(f"unknown column: {name!r}")
 
     def resolve(self, name: str) -> str:
         for f in self.schema.fields:
             if f.name.lower() == name:
                 return f.name
-        raise FilterError(f"unknown column: {name!r}")
+        raise UnknownColumnError(f"unknown column: {name!r}")
 
 
 def _numeric(t: T.DataType) -> bool:
