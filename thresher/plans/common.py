@@ -85,3 +85,51 @@ FLAGSHIP_RULE = rule(
     "cnt >= 2 && total > 20",
     group("AND", cond("event_type", "IN", "purchase, click"), cond("value", "GREATER_THAN", 5)),
 )
+
+
+# The live evaluator's message stream, derived from events the same way
+# `thresher.sources.results.standin_messages` does (running count and sum
+# per rule, group and window in event order; the last event's row is final;
+# early-fire rows of error events are re-delivered 500 events late).
+MESSAGES_CTE = f"""
+d AS {DEDUP_SQL},
+u AS (
+  SELECT 'R_USER_DAY' AS ruleId, 0 AS ridx, COALESCE(CAST(user_id AS VARCHAR), 'N/A') AS groupKey,
+         time_bucket(INTERVAL '86400 seconds', ts) AS ws, INTERVAL 86400 SECOND AS width,
+         event_id, ts, value, event_type
+  FROM d WHERE event_type IN ('purchase', 'click') AND value > 5
+  UNION ALL
+  SELECT 'R_TYPE_HOUR', 1, COALESCE(CAST(event_type AS VARCHAR), 'N/A'),
+         time_bucket(INTERVAL '3600 seconds', ts), INTERVAL 3600 SECOND, event_id, ts, value, event_type
+  FROM d),
+r AS (
+  SELECT *, COUNT(event_id) OVER w AS cnt, SUM(value) OVER w AS total_raw,
+         event_id = MAX(event_id) OVER (PARTITION BY ruleId, groupKey, ws) AS isFinal
+  FROM u WINDOW w AS (PARTITION BY ruleId, groupKey, ws ORDER BY event_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (
+  SELECT ruleId, groupKey, {local_sql('ws')} AS windowStart, {local_sql('ws + width')} AS windowEnd,
+         {local_sql('ts')} AS producedAt, cnt, round(total_raw, 4) AS total,
+         CASE WHEN ruleId = 'R_USER_DAY' THEN COALESCE(cnt >= 2 AND total_raw > 20, false)
+              ELSE COALESCE(cnt >= 4 OR total_raw > 1000, false) END AS thresholdBreached,
+         isFinal, event_id * 4 + ridx * 2 AS seq, event_type, event_id, ridx,
+         strftime(ts + to_microseconds(CAST(round(value * 10000) AS BIGINT)) + INTERVAL 330 MINUTE,
+                  '%Y-%m-%d %H:%M:%S.%f') AS consumedAt
+  FROM r),
+messages AS (
+  SELECT ruleId, groupKey, windowStart, windowEnd, producedAt, cnt, total, thresholdBreached, isFinal, seq, consumedAt
+  FROM b
+  UNION ALL
+  SELECT ruleId, groupKey, windowStart, windowEnd, producedAt, cnt, total, thresholdBreached, false,
+         (event_id + 500) * 4 + ridx * 2 + 1, consumedAt
+  FROM b WHERE event_type = 'error'),
+latest AS (
+  SELECT * FROM messages
+  QUALIFY row_number() OVER (PARTITION BY ruleId, groupKey, windowStart
+                             ORDER BY isFinal DESC, producedAt DESC, seq DESC) = 1)"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.sources.results import standin_messages
+
+    return standin_messages(events(spark, sf_dir))
