@@ -11,7 +11,10 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     `max_rows` rows; otherwise leave it to a shuffled join.
 
     The check reads at most max_rows + 1 rows (a LIMIT job), so it costs
-    little even when the side is large.
+    little even when the side is large -- but it does evaluate the side's
+    plan, so use it for scans of dimension tables.  For a side derived by
+    an aggregate, leave the decision to AQE, which sees the side's real
+    size after its shuffle and picks a broadcast join only when it is small.
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
