@@ -1 +1,153 @@
-"""Plans (filled in below)."""
+"""Streaming plans.  Each runs a Structured Streaming query over the events
+file with `trigger(availableNow=True)` into a fresh folder under the shared
+checkpoint folder, then returns a batch read of the output.
+
+In append mode a window is emitted once the watermark (largest event time
+seen, minus the allowed lateness) passes its end, so windows ending after
+`max(ts) - lateness` are still open when the run ends; the oracle SQL
+applies the same bound.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from thresher.plans.common import MESSAGES_CTE, cond, events, group, local_sql, messages, rule
+from thresher.plans.registry import register, rounded
+from thresher.session import scratch_path
+from thresher.sources.results import raw_result_json
+from thresher.spec import RuleSpec
+from thresher.streaming.evaluate import evaluate_stream, file_event_stream, route_to_sinks, run_available
+from thresher.streaming.live import STATE_COLS, ViewMerger, keyed_latest, message_stream
+
+TUMBLING_RULE = rule(
+    "R_STREAM", ["user_id"], 86400000, [("cnt", "event_id", "COUNT"), ("total", "value", "SUM")],
+    "cnt >= 2 && total > 20",
+    group("AND", cond("event_type", "IN", "purchase, click"), cond("value", "GREATER_THAN", 5)),
+    sinks={"agg_sink_enabled": True, "anomaly_sink_enabled": True, "anomaly_store_sink_enabled": False},
+)
+TUMBLING_RULE["windowing"]["allowed_lateness_ms"] = 3600000
+
+SLIDING_RULE = rule(
+    "R_SLIDE", ["event_type"], 21600000,
+    [("cnt", "event_id", "COUNT"), ("users", "user_id", "COUNT_DISTINCT"), ("mx", "value", "MAX")],
+    "users >= 5 && mx > 400",
+)
+SLIDING_RULE["windowing"].update({"type": "SLIDING", "slide_ms": 7200000, "alignment_offset_ms": 1800000,
+                                  "allowed_lateness_ms": 7200000})
+
+HOURLY_RULE = rule("R_HOURLY", ["event_type"], 3600000, [("cnt", "event_id", "COUNT"), ("total", "value", "SUM")],
+                   "cnt >= 4")
+HOURLY_RULE["windowing"]["allowed_lateness_ms"] = 1800000
+
+
+def _stream(spark, sf_dir):
+    schema = events(spark, sf_dir).schema
+    return file_event_stream(spark, sf_dir, schema, glob="events.parquet")
+
+
+def _final(spark, sf_dir, doc, tag):
+    out, ckpt = scratch_path(spark, f"{tag}-out"), scratch_path(spark, f"{tag}-ckpt")
+    run_available(evaluate_stream(_stream(spark, sf_dir), doc), "append", ckpt, out)
+    return spark.read.parquet(out)
+
+
+_TUMBLING_SQL = f"""
+WITH m AS (SELECT * FROM events WHERE event_type IN ('purchase', 'click') AND value > 5),
+g AS (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, user_id, COUNT(event_id) AS cnt, SUM(value) AS total
+      FROM m GROUP BY ws, user_id),
+f AS (SELECT 'R_STREAM' AS ruleId, CAST(user_id AS VARCHAR) AS groupKey, {local_sql('ws')} AS windowStart,
+             {local_sql("ws + INTERVAL 86400 SECOND")} AS windowEnd, cnt, round(total, 4) AS total,
+             COALESCE(cnt >= 2 AND total > 20, false) AS thresholdBreached
+      FROM g WHERE ws + INTERVAL 86400 SECOND <= (SELECT max(ts) FROM m) - INTERVAL 3600 SECOND)"""
+
+
+@register("stream_tumbling_final", covers="ST12 ST14 S5", sql=f"""{_TUMBLING_SQL}
+SELECT * FROM f""")
+def stream_tumbling_final(spark, sf_dir):
+    return rounded(_final(spark, sf_dir, TUMBLING_RULE, "tumbling"))
+
+
+@register("stream_sliding_final", covers="ST12 ST14 A12", sql=f"""
+WITH e AS (SELECT *, epoch_us(ts) AS us FROM events),
+w AS (SELECT e.*, ((us - 1800000000) // 7200000000) * 7200000000 + 1800000000 - k * 7200000000 AS ws_us
+      FROM e, range(0, 3) r(k)),
+g AS (SELECT make_timestamp(ws_us) AS ws, event_type, COUNT(event_id) AS cnt, COUNT(DISTINCT user_id) AS users,
+             MAX(value) AS mx
+      FROM w GROUP BY ws_us, event_type)
+SELECT 'R_SLIDE' AS ruleId, event_type AS groupKey, {local_sql('ws')} AS windowStart,
+       {local_sql("ws + INTERVAL 21600 SECOND")} AS windowEnd, cnt, users, round(mx, 4) AS mx,
+       COALESCE(users >= 5 AND mx > 400, false) AS thresholdBreached
+FROM g WHERE ws + INTERVAL 21600 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 7200 SECOND""")
+def stream_sliding_final(spark, sf_dir):
+    return rounded(_final(spark, sf_dir, SLIDING_RULE, "sliding"))
+
+
+@register("stream_partial_then_final", covers="ST13 ST14", sql=f"""
+WITH g AS (SELECT time_bucket(INTERVAL '3600 seconds', ts) AS ws, event_type, COUNT(event_id) AS cnt,
+                  SUM(value) AS total FROM events GROUP BY ws, event_type),
+r AS (SELECT 'R_HOURLY' AS ruleId, event_type AS groupKey, {local_sql('ws')} AS windowStart,
+             {local_sql("ws + INTERVAL 3600 SECOND")} AS windowEnd, cnt, round(total, 4) AS total,
+             COALESCE(cnt >= 4, false) AS thresholdBreached, ws FROM g)
+SELECT ruleId, groupKey, windowStart, windowEnd, cnt, total, thresholdBreached, false AS isFinal FROM r
+UNION ALL
+SELECT ruleId, groupKey, windowStart, windowEnd, cnt, total, thresholdBreached, true FROM r
+WHERE ws + INTERVAL 3600 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1800 SECOND""")
+def stream_partial_then_final(spark, sf_dir):
+    partial_out, final_out = scratch_path(spark, "partial-out"), scratch_path(spark, "final-out")
+
+    def keep(path):
+        def write(batch, epoch):
+            batch.write.mode("append").parquet(path)
+        return write
+
+    run_available(evaluate_stream(_stream(spark, sf_dir), HOURLY_RULE), "update",
+                  scratch_path(spark, "partial-ckpt"), keep(partial_out))
+    run_available(evaluate_stream(_stream(spark, sf_dir), HOURLY_RULE), "append",
+                  scratch_path(spark, "final-ckpt"), final_out)
+    partial = spark.read.parquet(partial_out).withColumn("isFinal", F.lit(False))
+    final = spark.read.parquet(final_out).withColumn("isFinal", F.lit(True))
+    return rounded(partial.unionByName(final))
+
+
+@register("stream_sink_routing", covers="S11 ST16", sql=f"""{_TUMBLING_SQL}
+SELECT 'agg' AS sink, ruleId, groupKey, windowStart, cnt, thresholdBreached FROM f
+UNION ALL
+SELECT 'anomaly', ruleId, groupKey, windowStart, cnt, thresholdBreached FROM f WHERE thresholdBreached""")
+def stream_sink_routing(spark, sf_dir):
+    spec = RuleSpec.from_dict(TUMBLING_RULE)
+    agg_path, anomaly_path = scratch_path(spark, "agg-sink"), scratch_path(spark, "anomaly-sink")
+    run_available(evaluate_stream(_stream(spark, sf_dir), spec), "append", scratch_path(spark, "route-ckpt"),
+                  lambda b, e: route_to_sinks(b, spec, agg_path, anomaly_path))
+    cols = ["ruleId", "groupKey", "windowStart", "cnt", "thresholdBreached"]
+    agg = spark.read.parquet(agg_path).select(F.lit("agg").alias("sink"), *cols)
+    anomalies = spark.read.parquet(anomaly_path).select(F.lit("anomaly").alias("sink"), *cols)
+    return agg.unionByName(anomalies)
+
+
+@register("stream_live_state", covers="ST1 ST3 ST4 ST6 ST9 U2 S6", sql=f"""
+WITH {MESSAGES_CTE},
+n AS (SELECT ruleId, groupKey, windowStart, cnt, total, thresholdBreached,
+             CASE WHEN ruleId = 'R_TYPE_HOUR' THEN true ELSE isFinal END AS isFinal, seq FROM messages)
+SELECT ruleId, groupKey, windowStart, cnt, total, thresholdBreached, isFinal, seq,
+       MIN(seq) OVER (PARTITION BY ruleId, groupKey, windowStart) AS first_seq
+FROM n
+QUALIFY row_number() OVER (PARTITION BY ruleId, groupKey, windowStart ORDER BY isFinal DESC, seq DESC) = 1""")
+def stream_live_state(spark, sf_dir):
+    """Result messages land as four files in arrival order; the stream takes
+    one file per micro-batch and merges each batch's changed keys into the
+    view.  The final view must equal the batch upsert of all messages."""
+    inbox = scratch_path(spark, "messages")
+    raw = raw_result_json(messages(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    top = raw.agg(F.max("seq")).first()[0]
+    step = top // 4 + 1
+    for i in range(4):  # sequential writes: file times follow arrival order
+        raw.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).coalesce(1) \
+            .write.mode("append").json(inbox)
+    raw.unpersist()
+    merger = ViewMerger(scratch_path(spark, "view"))
+    stream = message_stream(spark, inbox).select(*STATE_COLS)
+    run_available(keyed_latest(stream), "update", scratch_path(spark, "view-ckpt"), merger)
+    view = spark.read.parquet(merger.snapshot_path(merger.last_epoch))
+    return rounded(view.select(*STATE_COLS, "first_seq"))
