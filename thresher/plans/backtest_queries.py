@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thresher.functions.timeutil import resolve_range
+from thresher.functions.timeutil import days_back_range, local_text_of, resolve_range
 from thresher.operators.backtest import backtest
 from thresher.plans.common import (
-    DEDUP_SQL, FLAGSHIP_RULE, MATCHED_SQL, RANGE_END, RANGE_START, cond, events, group, local_sql, rule,
+    DEDUP_SQL, FLAGSHIP_RULE, MATCHED_SQL, NOW_UTC, RANGE_END, RANGE_START, cond, events, group, local_sql, rule,
 )
 from thresher.plans.registry import register, rounded
 from thresher.sources.events import STANDIN_SOURCE, flatten_message, latest_deliveries, matched_events, nested_events
@@ -157,3 +157,20 @@ def json_payload_projection(spark, sf_dir):
     msg = nested_events(events(spark, sf_dir))
     flat = flatten_message(msg)
     return flat.select("event_id", "user_id", "event_type", "k")
+
+
+@register("backtest_days_back", covers="O10 V5 A1", sql=f"""
+SELECT {local_sql('ws')} AS window_start, groupKey, cnt, round(total, 4) AS total,
+       COALESCE(cnt >= 2 AND total > 20, false) AS threshold_met
+FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(user_id AS VARCHAR), 'N/A') AS groupKey,
+             COUNT(event_id) AS cnt, SUM(value) AS total
+      FROM {DEDUP_SQL} d
+      WHERE ts BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'
+        AND event_type IN ('purchase', 'click') AND value > 5
+      GROUP BY ws, user_id) g
+ORDER BY ws DESC, groupKey LIMIT 5000""")
+def backtest_days_back(spark, sf_dir):
+    """The last N days (1..90, default 7; 500 is out of range -> 7) before
+    `now`, as the historical-test endpoint computes it."""
+    start, end = days_back_range(500, NOW_UTC)
+    return rounded(backtest(events(spark, sf_dir), FLAGSHIP_RULE, local_text_of(start), local_text_of(end)))

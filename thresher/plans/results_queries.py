@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from thresher.operators.livestate import upsert
 from thresher.operators.results import group_detail, live_results, results_in_range, results_last_hours, top_groups
 from thresher.plans.common import MESSAGES_CTE, NOW_UTC, messages
 from thresher.plans.registry import register, rounded
@@ -76,3 +77,16 @@ SELECT {_SEL} FROM latest WHERE ruleId = 'R_USER_DAY' AND groupKey = '42'
 ORDER BY windowStart DESC LIMIT 2000""")
 def results_group_detail(spark, sf_dir):
     return group_detail(messages(spark, sf_dir), "R_USER_DAY", "42", TOP_START, TOP_END).select(*COLS)
+
+
+@register("results_bootstrap", covers="S7 U2 ST6", sql=f"""
+WITH {MESSAGES_CTE},
+boot AS (SELECT * FROM latest
+         WHERE strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE >= TIMESTAMP '2024-01-28 00:00:00'
+         ORDER BY windowStart DESC, ruleId, groupKey LIMIT 5000)
+SELECT ruleId, groupKey, windowStart, cnt, isFinal, seq, seq AS first_seq FROM boot""")
+def results_bootstrap(spark, sf_dir):
+    """Start-up state: every rule's rows of the last 72 hours (newest 5000),
+    upserted into an empty view."""
+    boot = results_last_hours(messages(spark, sf_dir), [], 72, NOW_UTC)
+    return upsert(boot).select("ruleId", "groupKey", "windowStart", "cnt", "isFinal", "seq", "first_seq")

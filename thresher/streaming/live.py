@@ -46,10 +46,14 @@ def message_stream(spark: SparkSession, directory: str, max_files_per_trigger: i
 class ViewMerger:
     """foreachBatch target: merge the changed keys into the view snapshot."""
 
-    def __init__(self, base_path: str, cap: int = DEFAULT_RULE_CAP, cutoff: dt.datetime | None = None):
+    def __init__(self, base_path: str, cap: int = DEFAULT_RULE_CAP, cutoff: dt.datetime | None = None,
+                 initial: DataFrame | None = None):
+        """`initial`: a start-up state (e.g. the results table's recent rows,
+        upserted) that replaces the view before the first micro-batch."""
         self.base_path = base_path.rstrip("/")
         self.cap = cap
         self.cutoff = cutoff
+        self.initial = initial
         self.last_epoch: int | None = None
 
     def snapshot_path(self, epoch: int) -> str:
@@ -72,7 +76,7 @@ class ViewMerger:
 
     def _previous(self, spark: SparkSession, epoch: int) -> DataFrame | None:
         if epoch == 0:
-            return None
+            return None if self.initial is None else self.initial.select(*STATE_COLS, "first_seq")
         try:
             return spark.read.parquet(self.snapshot_path(epoch - 1))
         except Exception:  # noqa: BLE001 - no snapshot yet (empty first batches)
