@@ -130,6 +130,11 @@ latest AS (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results table: the live rules' message stream over `events`,
+    stored once under the shared checkpoint folder (a deployment's live
+    job writes this table; analytics read it)."""
+    from thresher.session import materialized
     from thresher.sources.results import standin_messages
 
-    return standin_messages(events(spark, sf_dir))
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    return materialized(spark, "result_messages", [src], lambda: standin_messages(events(spark, sf_dir)))

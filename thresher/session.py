@@ -64,3 +64,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster's file system (Hadoop API)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def materialized(spark: SparkSession, name: str, inputs: list[str], build) -> "DataFrame":
+    """A derived table written once under the shared checkpoint folder and
+    read back: later plans start from the stored table (lineage cut, no
+    recomputation, survives executor loss).  The folder name carries a
+    digest of the input paths, so different inputs never share a table.
+    A table counts as written once its _SUCCESS marker exists."""
+    import hashlib
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    digest = hashlib.sha1("|".join(sorted(inputs)).encode()).hexdigest()[:16]
+    path = f"{base}/tables/{name}-{digest}"
+    if not _path_exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

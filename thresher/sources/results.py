@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from thresher.functions.threshold import compile_threshold
 from thresher.functions.timeutil import bucket_start, to_local_text
-from thresher.operators.backtest import compile_rule, group_key_text, rule_matches
+from thresher.operators.backtest import compile_rule, group_key_text
 from thresher.operators.running import running_sums
-from thresher.sources.events import STANDIN_SOURCE, EventSource
+from thresher.sources.events import STANDIN_SOURCE, EventSource, matched_events
 
 # Fixed values (stand-in): how far behind a re-delivered early-fire row
 # arrives, in events.
@@ -47,66 +47,66 @@ class LiveRule:
     sum_field: str = "value"
 
 
-def _rule_rows(events: DataFrame, live: LiveRule, index: int, start: dt.datetime, end: dt.datetime,
-               source: EventSource) -> DataFrame:
-    matched = rule_matches(events, live.doc, start, end, source)
-    compiled = compile_rule(live.doc, matched.columns)
-    size = compiled.bucket_seconds
-    ws = bucket_start(F.col(source.time_col), size)
-    return matched.select(
-        F.lit(compiled.spec.rule_id).alias("ruleId"),
-        F.lit(index).alias("__ridx"),
-        F.lit(compiled.spec.threshold).alias("__threshold"),
-        group_key_text(compiled.key_cols).alias("groupKey"),
-        ws.alias("__ws"),
-        (ws + F.make_dt_interval(secs=F.lit(size))).alias("__we"),
-        F.col(source.order_col).alias("__order"),
-        F.col(source.time_col).alias("__ts"),
-        F.col(live.count_field).isNotNull().cast("long").alias("__one"),
-        F.col(live.sum_field).cast("double").alias("__val"),
-        F.col("event_type").alias("__etype"),
-    )
-
-
 def result_messages(events: DataFrame, rules: list[LiveRule], start: dt.datetime, end: dt.datetime,
                     source: EventSource = STANDIN_SOURCE, late_type: str | None = "error",
                     chunk_width: int | None = None) -> DataFrame:
-    """The evaluator's output stream for `rules` over the events in range."""
-    parts = [_rule_rows(events, r, i, start, end, source) for i, r in enumerate(rules)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    """The evaluator's output stream for `rules` over the events in range.
+
+    One scan and one dedup serve every rule: each event is tagged with the
+    rules whose filter it passes (an array of structs, exploded), so a
+    multi-rule run costs one pass, not one per rule.  Re-deliveries come
+    out of the same explode.
+    """
+    from thresher.functions.predicates import FilterContext, compile_filter
+
+    matched = matched_events(events, source, start, end)
+    tags, thresholds = [], []
+    for i, r in enumerate(rules):
+        compiled = compile_rule(r.doc, matched.columns)
+        pred = compile_filter(compiled.spec.filters, FilterContext(matched.schema))
+        size = compiled.bucket_seconds
+        ws = bucket_start(F.col(source.time_col), size)
+        tag = F.struct(F.lit(compiled.spec.rule_id).alias("ruleId"), F.lit(i).alias("ridx"),
+                       group_key_text(compiled.key_cols).alias("groupKey"), ws.alias("ws"),
+                       (ws + F.make_dt_interval(secs=F.lit(size))).alias("we"),
+                       F.col(r.count_field).isNotNull().cast("long").alias("one"),
+                       F.col(r.sum_field).cast("double").alias("val"))
+        tags.append(tag if pred is None else F.when(pred, tag))
+        thresholds.append((compiled.spec.rule_id, compiled.spec.threshold))
+    tagged = matched.select(
+        F.col(source.order_col).alias("__order"), F.col(source.time_col).alias("__ts"),
+        F.col("event_type").alias("__etype"),
+        F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("__r"))
+    rows = tagged.select("__order", "__ts", "__etype", "__r.*")
     kw = {"chunk_width": chunk_width} if chunk_width else {}
-    run = running_sums(rows, ["ruleId", "groupKey", "__ws"], "__order",
-                       {"cnt": F.col("__one"), "total": F.col("__val")}, last_flag="isFinal", **kw)
-    # one threshold column per rule, chosen by rule id
+    run = running_sums(rows, ["ruleId", "groupKey", "ws"], "__order",
+                       {"cnt": F.col("one"), "total": F.col("val")}, last_flag="isFinal", **kw)
     flag: Column = F.lit(False)
-    for r in rules:
-        c = compile_rule(r.doc)
-        th = compile_threshold(c.spec.threshold, ["cnt", "total"]).column
-        flag = F.when(F.col("ruleId") == c.spec.rule_id, th).otherwise(flag)
+    for rule_id, expr in thresholds:
+        th = compile_threshold(expr, ["cnt", "total"]).column
+        flag = F.when(F.col("ruleId") == rule_id, th).otherwise(flag)
     n = len(rules)
-    base = run.select(
+    seq = F.col("__order") * F.lit(2 * n) + F.col("ridx") * 2
+    late_seq = (F.col("__order") + F.lit(LATE_SHIFT)) * F.lit(2 * n) + F.col("ridx") * 2 + 1
+    copies = [F.struct(F.col("isFinal").alias("final"), seq.alias("seq"))]
+    if late_type is not None:
+        copies.append(F.when(F.col("__etype") == late_type, F.struct(F.lit(False).alias("final"), late_seq.alias("seq"))))
+    out = run.select(
         "ruleId", "groupKey",
-        to_local_text(F.col("__ws")).alias("windowStart"),
-        to_local_text(F.col("__we")).alias("windowEnd"),
+        to_local_text(F.col("ws")).alias("windowStart"),
+        to_local_text(F.col("we")).alias("windowEnd"),
         to_local_text(F.col("__ts")).alias("producedAt"),
         "cnt", F.round("total", 4).alias("total"),
-        flag.alias("thresholdBreached"), "isFinal",
-        (F.col("__order") * F.lit(2 * n) + F.col("__ridx") * 2).alias("seq"),
-        "__etype", "__order", "__ridx",
+        flag.alias("thresholdBreached"),
         to_local_text(F.col("__ts") + F.make_dt_interval(
-            secs=(F.round(F.col("__val") * 10000) / 1000000).cast("decimal(18,6)")), CONSUMED_FORMAT
+            secs=(F.round(F.col("val") * 10000) / 1000000).cast("decimal(18,6)")), CONSUMED_FORMAT
         ).alias("consumedAt"),
+        F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())).alias("__c"),
     )
-    out = base
-    if late_type is not None:
-        late = base.where(F.col("__etype") == late_type).withColumn("isFinal", F.lit(False)) \
-            .withColumn("seq", (F.col("__order") + F.lit(LATE_SHIFT)) * F.lit(2 * n) + F.col("__ridx") * 2 + 1)
-        out = base.unionByName(late)
     agg = F.to_json(F.struct("cnt", "total"))
     return out.select("ruleId", "groupKey", "windowStart", "windowEnd", "producedAt", "cnt", "total",
-                      agg.alias("aggResult"), "thresholdBreached", "isFinal", "seq", "consumedAt")
+                      agg.alias("aggResult"), "thresholdBreached", F.col("__c.final").alias("isFinal"),
+                      F.col("__c.seq").alias("seq"), "consumedAt")
 
 
 # Fixed values (stand-in): the two live rules of the test tables.
