@@ -51,3 +51,24 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and "threshold_met" in df.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+ZONE_SAMPLE = ["backtest_user_daily", "filter_dates", "dedup_latest_event", "results_multi_last_hours",
+               "live_prune_leading", "consume_delay_histogram", "stream_tumbling_final", "access_audit_latest"]
+
+
+@pytest.mark.parametrize("name", ZONE_SAMPLE)
+def test_session_zone_does_not_matter(spark, con, name):
+    """Event times are UTC wall clocks (TIMESTAMP_NTZ); no plan may read the
+    session time zone."""
+    r = REG[name]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = r.fn(spark, SF)
+        cols, rows = df.columns, [tuple(x) for x in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    res = con.execute(r.sql)
+    dcols, drows = [d[0] for d in res.description], res.fetchall()
+    assert _rows(cols, rows) == _rows(dcols, drows)

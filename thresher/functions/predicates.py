@@ -210,7 +210,9 @@ def _compile_leaf(node: dict, ctx: FilterContext) -> Column | None:
         return col.isNotNull()
     if op in DATE_OPS:
         when = resolve_date_value(value, node.get("format"))
-        return DATE_OPS[op](col.try_cast("timestamp_ntz"), F.lit(when).cast("timestamp_ntz"))
+        from thresher.functions.timeutil import ntz_literal
+
+        return DATE_OPS[op](col.try_cast("timestamp_ntz"), ntz_literal(when))
     raise ValueError(f"unknown operator {op!r}")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thresher.functions.timeutil import ntz_text
 from thresher.operators.joins import sized_broadcast
 
 MAX_CATALOGUE_ROWS = 100_000
@@ -78,7 +79,7 @@ def audit_latest(audit: DataFrame, n: int = AUDIT_PAGE) -> DataFrame:
     meta = F.from_json(F.col("metadata"), "priority string, total double")
     return top.select("id", "actor_user_id", "action", "target_type", "target_id",
                       meta["priority"].alias("priority"), meta["total"].alias("total"),
-                      F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+                      ntz_text(F.col("created_at")).alias("created_at"))
 
 
 def change_check(proposals: DataFrame, users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thresher.functions.timeutil import LOCAL_OFFSET_MINUTES, lenient_time_col, parse_local_text_col
+from thresher.functions.timeutil import LOCAL_OFFSET_MINUTES, lenient_time_col, ntz_literal, parse_local_text_col
 from thresher.spec import clamp
 
 KEY = ["ruleId", "groupKey", "windowStart"]
@@ -60,7 +60,7 @@ def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: in
     across rules, rule id normalised."""
     since = now - dt.timedelta(hours=hours)
     df = results if not rule_ids else results.where(F.col("ruleId").isin(rule_ids))
-    df = latest_versions(df).where(_window_start_ts(df) >= F.lit(since).cast("timestamp_ntz"))
+    df = latest_versions(df).where(_window_start_ts(df) >= ntz_literal(since))
     return _newest(df, MULTI_CAP).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thresher.functions.timeutil import days_back_range, local_text_of, resolve_range
+from thresher.functions.timeutil import days_back_range, local_text_of, ntz_text, resolve_range
 from thresher.operators.backtest import backtest
 from thresher.plans.common import (
     DEDUP_SQL, FLAGSHIP_RULE, MATCHED_SQL, NOW_UTC, RANGE_END, RANGE_START, cond, events, group, local_sql, rule,
@@ -135,7 +135,7 @@ SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type
 FROM {DEDUP_SQL} d""")
 def dedup_latest_event(spark, sf_dir):
     d = latest_deliveries(events(spark, sf_dir), STANDIN_SOURCE)
-    return rounded(d.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+    return rounded(d.select("event_id", ntz_text(F.col("ts"), micros=True).alias("ts"),
                             "user_id", "event_type", "value"))
 
 

@@ -73,16 +73,50 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """path + length + modification time of a file or folder (Hadoop API)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return path
+    st = fs.getFileStatus(p)
+    return f"{path}:{st.getLen()}:{st.getModificationTime()}"
+
+
+_CODE_DIGEST: str | None = None
+
+
+def code_digest() -> str:
+    """Digest of this package's source: a derived table built by other code
+    is never reused."""
+    global _CODE_DIGEST
+    if _CODE_DIGEST is None:
+        import hashlib
+
+        root = os.path.dirname(os.path.abspath(__file__))
+        h = hashlib.sha1()
+        for d, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(f.encode() + fh.read())
+        _CODE_DIGEST = h.hexdigest()[:16]
+    return _CODE_DIGEST
+
+
 def materialized(spark: SparkSession, name: str, inputs: list[str], build) -> "DataFrame":
     """A derived table written once under the shared checkpoint folder and
     read back: later plans start from the stored table (lineage cut, no
     recomputation, survives executor loss).  The folder name carries a
-    digest of the input paths, so different inputs never share a table.
+    digest of the inputs (path, length, modification time) and of the code,
+    so changed inputs or changed code never reuse a table.
     A table counts as written once its _SUCCESS marker exists."""
     import hashlib
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    digest = hashlib.sha1("|".join(sorted(inputs)).encode()).hexdigest()[:16]
+    parts = [code_digest()] + [_fingerprint(spark, p) for p in sorted(inputs)]
+    digest = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
     path = f"{base}/tables/{name}-{digest}"
     if not _path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)

@@ -51,6 +51,8 @@ def main() -> int:
 
     reg = load_all()
     spark = local_session(8)
+    if os.environ.get("SESSION_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         p = f"{args.sf}/{t}.parquet"
