@@ -18,7 +18,11 @@ from thresher.plans.registry import register, rounded
 from thresher.session import scratch_path
 from thresher.sources.results import raw_result_json
 from thresher.spec import RuleSpec
-from thresher.streaming.evaluate import evaluate_stream, file_event_stream, route_to_sinks, run_available
+from thresher.operators.rulestore import lifecycle
+from thresher.sources.rule_tables import change_log
+from thresher.streaming.evaluate import (
+    evaluate_rule_family, evaluate_stream, file_event_stream, route_to_sinks, run_available,
+)
 from thresher.streaming.live import STATE_COLS, ViewMerger, keyed_latest, message_stream
 
 TUMBLING_RULE = rule(
@@ -151,3 +155,38 @@ def stream_live_state(spark, sf_dir):
     run_available(keyed_latest(stream), "update", scratch_path(spark, "view-ckpt"), merger)
     view = spark.read.parquet(merger.snapshot_path(merger.last_epoch))
     return rounded(view.select(*STATE_COLS, "first_seq"))
+
+
+FAMILY_RULE = rule("rule_family", ["__GLOBAL__"], 86400000,
+                   [("cnt", "event_id", "COUNT"), ("total", "value", "SUM")], "cnt >= 2",
+                   cond("event_type", "IN", "purchase, click"))
+FAMILY_RULE["windowing"]["allowed_lateness_ms"] = 3600000
+
+
+def _family_sql() -> str:
+    from thresher.plans.rules_queries import RULES_CTE
+
+    return f"""
+WITH RECURSIVE {RULES_CTE},
+act AS (SELECT rule_id FROM final WHERE status = 'ACTIVE'),
+m AS (SELECT e.*, 'rule_' || CAST(e.user_id AS VARCHAR) AS rid FROM events e
+      WHERE 'rule_' || CAST(e.user_id AS VARCHAR) IN (SELECT rule_id FROM act)
+        AND e.event_type IN ('purchase', 'click')),
+g AS (SELECT rid, time_bucket(INTERVAL '86400 seconds', ts) AS ws, COUNT(event_id) AS cnt, SUM(value) AS total
+      FROM m GROUP BY rid, ws)
+SELECT rid AS ruleId, '__GLOBAL__' AS groupKey, {local_sql('ws')} AS windowStart,
+       {local_sql("ws + INTERVAL 86400 SECOND")} AS windowEnd, cnt, round(total, 4) AS total,
+       COALESCE(cnt >= 2, false) AS thresholdBreached
+FROM g WHERE ws + INTERVAL 86400 SECOND <= (SELECT max(ts) FROM m) - INTERVAL 3600 SECOND"""
+
+
+@register("stream_rule_control", covers="ST15 ST12", sql=_family_sql())
+def stream_rule_control(spark, sf_dir):
+    """One rule per user (`rule_<user_id>`), one window shape: events pass
+    only while their rule is ACTIVE in the rule-status table (re-read every
+    micro-batch), and all rules share one streaming aggregation."""
+    status = lifecycle(change_log(events(spark, sf_dir)))
+    key = F.concat(F.lit("rule_"), F.col("user_id").cast("string"))
+    out, ckpt = scratch_path(spark, "family-out"), scratch_path(spark, "family-ckpt")
+    run_available(evaluate_rule_family(_stream(spark, sf_dir), FAMILY_RULE, key, status), "append", ckpt, out)
+    return rounded(spark.read.parquet(out))
