@@ -15,7 +15,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thresher.functions.timeutil import LOCAL_OFFSET_MINUTES, lenient_time_col, ntz_literal, parse_local_text_col
+from thresher.functions.timeutil import (
+    LOCAL_OFFSET_MINUTES, local_text_of, ntz_literal, parse_lenient_text, parse_local_text_col,
+)
 from thresher.spec import clamp
 
 KEY = ["ruleId", "groupKey", "windowStart"]
@@ -38,6 +40,25 @@ def _window_start_ts(df: DataFrame) -> Column:
     return parse_local_text_col(F.col("windowStart"))
 
 
+def window_start_between(lo: dt.datetime | None, hi: dt.datetime | None) -> Column:
+    """windowStart (local 'yyyy-MM-dd HH:mm:ss' text) in [lo, hi] (naive UTC,
+    None = open).  The fixed-width text sorts like time, so a plain text
+    range goes first -- it reaches the Parquet scan and skips row groups --
+    and the exact comparison on the parsed time follows (unparseable text
+    never matches)."""
+    ws = parse_local_text_col(F.col("windowStart"))
+    pred = ws.isNotNull()
+    if lo is not None:
+        pred = (F.col("windowStart") >= F.lit(local_text_of(lo))) & pred & (ws >= ntz_literal(lo))
+    if hi is not None:
+        pred = (F.col("windowStart") <= F.lit(local_text_of(hi))) & pred & (ws <= ntz_literal(hi))
+    return pred
+
+
+def _bounds(start_text: str, end_text: str) -> tuple[dt.datetime | None, dt.datetime | None, bool]:
+    lo, hi = parse_lenient_text(start_text), parse_lenient_text(end_text)
+    return lo, hi, lo is not None and hi is not None
+
 def normalised_rule_id(col: Column) -> Column:
     """Empty or missing rule id -> 'unknown'."""
     return F.coalesce(F.nullif(col, F.lit("")), F.lit("unknown"))
@@ -60,28 +81,27 @@ def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: in
     across rules, rule id normalised."""
     since = now - dt.timedelta(hours=hours)
     df = results if not rule_ids else results.where(F.col("ruleId").isin(rule_ids))
-    df = latest_versions(df).where(_window_start_ts(df) >= ntz_literal(since))
+    df = latest_versions(df.where(window_start_between(since, None)))
     return _newest(df, MULTI_CAP).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 
 def results_in_range(results: DataFrame, rule_ids: list[str], start_text: str, end_text: str) -> DataFrame:
     """Latest versions of the given rules whose window start lies in the
     closed range (lenient local text); newest 5000 across rules."""
-    if not rule_ids:
+    lo, hi, ok = _bounds(start_text, end_text)
+    if not rule_ids or not ok:
         return results.limit(0)
-    lo, hi = lenient_time_col(F.lit(start_text)), lenient_time_col(F.lit(end_text))
-    df = latest_versions(results.where(F.col("ruleId").isin(rule_ids)))
-    ws = _window_start_ts(df)
-    df = df.where((ws >= lo) & (ws <= hi))
-    return _newest(df, MULTI_CAP).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
+    df = results.where(F.col("ruleId").isin(rule_ids) & window_start_between(lo, hi))
+    return _newest(latest_versions(df), MULTI_CAP).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 
 def group_detail(results: DataFrame, rule_id: str, group_key: str, start_text: str, end_text: str) -> DataFrame:
     """One group's window history in range, newest first, at most 2000."""
-    lo, hi = lenient_time_col(F.lit(start_text)), lenient_time_col(F.lit(end_text))
-    df = latest_versions(results.where((F.col("ruleId") == rule_id) & (F.col("groupKey") == group_key)))
-    ws = _window_start_ts(df)
-    return _newest(df.where((ws >= lo) & (ws <= hi)), DETAIL_CAP)
+    lo, hi, ok = _bounds(start_text, end_text)
+    if not ok:
+        return results.limit(0)
+    df = results.where((F.col("ruleId") == rule_id) & (F.col("groupKey") == group_key) & window_start_between(lo, hi))
+    return _newest(latest_versions(df), DETAIL_CAP)
 
 
 def top_groups(results: DataFrame, rule_id: str, start_text: str, end_text: str,
@@ -91,10 +111,11 @@ def top_groups(results: DataFrame, rule_id: str, start_text: str, end_text: str,
     >= 0 default 0.  breachRate is a percentage, 0 without windows."""
     n = clamp(limit, 1, TOP_MAX, TOP_DEFAULT)
     off = 0 if offset is None or offset < 0 else int(offset)
-    lo, hi = lenient_time_col(F.lit(start_text)), lenient_time_col(F.lit(end_text))
-    df = latest_versions(results.where(F.col("ruleId") == rule_id))
-    ws = _window_start_ts(df)
-    per_group = df.where((ws >= lo) & (ws <= hi)).groupBy("groupKey").agg(
+    lo, hi, ok = _bounds(start_text, end_text)
+    df = latest_versions(results.where((F.col("ruleId") == rule_id) & window_start_between(lo, hi)))
+    if not ok:
+        df = df.limit(0)
+    per_group = df.groupBy("groupKey").agg(
         F.count(F.lit(1)).alias("totalWindows"),
         F.sum(F.col("thresholdBreached").cast("long")).alias("breachedWindows"),
         F.max("windowEnd").alias("lastSeen"),

@@ -137,4 +137,5 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thresher.sources.results import standin_messages
 
     src = f"{sf_dir.rstrip('/')}/events.parquet"
-    return materialized(spark, "result_messages", [src], lambda: standin_messages(events(spark, sf_dir)))
+    return materialized(spark, "result_messages", [src], lambda: standin_messages(events(spark, sf_dir)),
+                        partition_by=["ruleId"], sort_within=["windowStart"])

@@ -105,7 +105,8 @@ def code_digest() -> str:
     return _CODE_DIGEST
 
 
-def materialized(spark: SparkSession, name: str, inputs: list[str], build) -> "DataFrame":
+def materialized(spark: SparkSession, name: str, inputs: list[str], build,
+                 partition_by: list[str] | None = None, sort_within: list[str] | None = None) -> "DataFrame":
     """A derived table written once under the shared checkpoint folder and
     read back: later plans start from the stored table (lineage cut, no
     recomputation, survives executor loss).  The folder name carries a
@@ -119,5 +120,17 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build) -> "D
     digest = hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
     path = f"{base}/tables/{name}-{digest}"
     if not _path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        df = build()
+        w = df
+        if partition_by:
+            # range partitioning samples the keys, so one hot partition value
+            # is split over many writer tasks (by the sort columns) instead of
+            # landing in one; each task writes sorted files of few partitions
+            w = w.repartitionByRange(*(partition_by + (sort_within or [])))
+        if sort_within:
+            w = w.sortWithinPartitions(*((partition_by or []) + sort_within))
+        writer = w.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
     return spark.read.parquet(path)
