@@ -200,10 +200,12 @@ def _compile_leaf(node: dict, ctx: FilterContext) -> Column | None:
         bound = [bind_value(col, dtype, v) for v in items]
         c = bound[0][0]
         return c.isin([b[1] for b in bound])
+    from thresher.functions.timeutil import number_text
+
     if op == "REGEX":
-        return col.cast("string").rlike(str(value))
+        return number_text(col, dtype).rlike(str(value))
     if op in TEXT_OPS:
-        return TEXT_OPS[op](col.cast("string"), F.lit(str(value)).cast("string"))
+        return TEXT_OPS[op](number_text(col, dtype), F.lit(str(value)).cast("string"))
     if op == "IS_NULL":
         return col.isNull()
     if op == "IS_NOT_NULL":

@@ -88,11 +88,15 @@ def compile_rule(rule: dict | RuleSpec, columns: list[str] | None = None) -> Com
     return CompiledRule(spec, key_cols, aggs, aliases, spec.window.backtest_seconds(), spec.filters)
 
 
-def group_key_text(key_cols: list[str]) -> Column:
-    """Group keys -> one text: each key as text, null -> 'N/A', joined by '|'."""
+def group_key_text(key_cols: list[str], schema=None) -> Column:
+    """Group keys -> one text: each key as text, null -> 'N/A', joined by '|'.
+    With a schema, doubles print in plain decimal (see `number_text`)."""
+    from thresher.functions.timeutil import number_text
+
     if not key_cols:
         return F.lit(GLOBAL_KEY)
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("N/A")) for k in key_cols]
+    types = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    parts = [F.coalesce(number_text(F.col(k), types.get(k)), F.lit("N/A")) for k in key_cols]
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 
@@ -138,7 +142,7 @@ def backtest(events: DataFrame, rule: dict | RuleSpec, start_ts: str | None = No
     ws = F.col("__window_start")
     out = per_window.select(
         ws,
-        group_key_text(compiled.key_cols).alias("groupKey"),
+        group_key_text(compiled.key_cols, per_window.schema).alias("groupKey"),
         *[F.col(a) for a in compiled.aliases],
         flag.column.alias("threshold_met"),
     )

@@ -174,3 +174,21 @@ def backtest_days_back(spark, sf_dir):
     `now`, as the historical-test endpoint computes it."""
     start, end = days_back_range(500, NOW_UTC)
     return rounded(backtest(events(spark, sf_dir), FLAGSHIP_RULE, local_text_of(start), local_text_of(end)))
+
+
+AMOUNT_RULE = rule("R_AMOUNT", ["amount"], 86400000, [("cnt", "event_id", "COUNT")], "cnt >= 2",
+                   cond("amount", "CONTAINS", "00000.0"))
+
+
+@register("backtest_double_keys", covers="V16 A9 F10", sql=f"""
+WITH ev AS (SELECT *, FLOOR(value) * 100000.0 AS amount FROM {MATCHED_SQL} m)
+SELECT {local_sql('ws')} AS window_start, groupKey, cnt, COALESCE(cnt >= 2, false) AS threshold_met
+FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(amount AS VARCHAR), 'N/A') AS groupKey,
+             COUNT(event_id) AS cnt
+      FROM ev WHERE contains(CAST(amount AS VARCHAR), '00000.0') GROUP BY ws, amount) g
+ORDER BY ws DESC, groupKey LIMIT 5000""")
+def backtest_double_keys(spark, sf_dir):
+    """Group keys and text filters over doubles of 1e7 and more print as
+    plain decimals ('15000000.0')."""
+    ev = events(spark, sf_dir).withColumn("amount", F.floor("value") * F.lit(100000.0))
+    return _bt(spark, sf_dir, AMOUNT_RULE, ev)

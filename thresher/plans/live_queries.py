@@ -96,7 +96,7 @@ def live_delta_batch(spark, sf_dir):
                                             "first_seq")
 
 
-@register("live_recent_anomalies", covers="W4 U1 ST10 ST16 D7", sql=f"""
+@register("live_recent_anomalies", covers="W4 U1 ST10 ST16 D7 C17", sql=f"""
 WITH {MESSAGES_CTE},
 a AS (SELECT * FROM messages WHERE thresholdBreached AND isFinal),
 buf AS (SELECT * FROM a ORDER BY seq DESC LIMIT 10000)
@@ -104,8 +104,10 @@ SELECT ruleId AS request_rule, ruleId, groupKey, windowStart, cnt, seq FROM buf
 WHERE ruleId IN ('R_USER_DAY', 'R_TYPE_HOUR')
 QUALIFY row_number() OVER (PARTITION BY ruleId ORDER BY seq DESC) <= 100""")
 def live_recent_anomalies(spark, sf_dir):
+    from thresher.spec import split_id_list
+
     anoms = anomaly_events(messages(spark, sf_dir))
-    out = recent_anomalies(anoms, ["R_USER_DAY", "R_TYPE_HOUR"], 100)
+    out = recent_anomalies(anoms, split_id_list(" R_USER_DAY, R_TYPE_HOUR ,, "), 100)
     return out.select("request_rule", "ruleId", "groupKey", "windowStart", "cnt", "seq")
 
 

@@ -164,66 +164,78 @@ def raw_result_json(messages: DataFrame) -> DataFrame:
     return messages.select(F.when(legacy, old).otherwise(current).alias("value"), "seq")
 
 
-_RAW_SCHEMA = T.StructType([
-    T.StructField("ruleId", T.StringType()), T.StructField("id", T.StringType()),
-    T.StructField("groupKey", T.StringType()), T.StructField("entityValue", T.StringType()),
-    T.StructField("windowStart", T.StringType()), T.StructField("windowEnd", T.StringType()),
-    T.StructField("producedAt", T.StringType()),
-    T.StructField("aggResult", T.StringType()), T.StructField("aggregationResults", T.StringType()),
-])
+_NUMERIC_TYPES = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
-def _key_present(value: Column, key: str) -> Column:
-    keys = F.json_object_keys(value)
-    return F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
+def _field(v: Column, key: str) -> Column:
+    """The JSON value at `key` as a VARIANT: SQL null when the key is
+    absent, a VOID variant when it holds JSON null."""
+    return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def coerce_final(value: Column) -> Column:
-    """isFinal of a message: JSON boolean as is, number != 0, missing or
-    null -> true, any other JSON value (text, object) -> true."""
-    raw = F.get_json_object(value, "$.isFinal")
-    as_bool = F.when(raw == "true", True).when(raw == "false", False)
-    as_num = F.when(raw.rlike(r"^-?[0-9.eE+-]+$"), raw.try_cast("double") != 0)
-    return F.coalesce(as_bool, as_num, F.lit(True))
+def _text(v: Column, key: str) -> Column:
+    """A field that must be JSON text; any other JSON type reads as null."""
+    x = _field(v, key)
+    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
 
-def coerce_breached(value: Column) -> Column:
-    """thresholdBreached: JSON boolean as is, 0/1 number -> != 0, missing
-    -> false; kept null when present as JSON null."""
-    raw = F.get_json_object(value, "$.thresholdBreached")
-    as_bool = F.when(raw == "true", True).when(raw == "false", False)
-    as_num = F.when(raw.rlike(r"^-?[0-9.eE+-]+$"), raw.try_cast("double") != 0)
-    present = _key_present(value, "thresholdBreached")
-    return F.when(present, F.coalesce(as_bool, as_num)).otherwise(F.lit(False))
+def coerce_final(v: Column) -> Column:
+    """isFinal of a parsed message: a JSON boolean as is, a number != 0;
+    a missing key, JSON null, text or any other value counts as final."""
+    x = _field(v, "isFinal")
+    t = F.schema_of_variant(x)
+    return (F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+            .when(t.rlike(_NUMERIC_TYPES), F.try_variant_get(x, "$", "double") != 0)
+            .otherwise(F.lit(True)))
+
+
+def coerce_breached(v: Column) -> Column:
+    """thresholdBreached: a JSON boolean as is, a number counts when it is
+    exactly 1 (how readers test it); missing, null or text is false."""
+    x = _field(v, "thresholdBreached")
+    t = F.schema_of_variant(x)
+    return (F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+            .when(t.rlike(_NUMERIC_TYPES), F.try_variant_get(x, "$", "double") == 1)
+            .otherwise(F.lit(False)))
+
+
+def _decode_aggregates(text: Column) -> tuple[Column, Column]:
+    """Aggregate JSON text -> (cnt, total); text that is not JSON stays
+    undecoded (null numbers)."""
+    agg = F.try_parse_json(text)
+    return (F.try_variant_get(agg, "$.cnt", "bigint"), F.try_variant_get(agg, "$.total", "double"))
+
+
+def _route(rule_id: Column, v: Column) -> Column:
+    return F.coalesce(F.nullif(rule_id, F.lit("")), F.nullif(_text(v, "id"), F.lit("")), F.lit("unknown"))
 
 
 def normalise_results(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Raw result JSON -> one normalised row per parseable message.
 
-    `ruleId` falls back to a non-empty `id` only when the `ruleId` key is
-    absent (key presence, not non-null); `groupKey` falls back to a
-    non-empty `entityValue` the same way; a missing `thresholdBreached` is
-    false and a missing `isFinal` true; aggregate text is decoded (the
-    legacy `aggregationResults` too).  The routing id is `ruleId`, else
-    `id`, else 'unknown'.  Unparseable JSON is dropped.
+    Messages are parsed once into a VARIANT.  `ruleId` falls back to a
+    non-empty text `id` only when the `ruleId` key is absent (presence, not
+    non-null); `groupKey` falls back to a non-empty `entityValue` the same
+    way; flags are coerced by `coerce_breached` / `coerce_final`; aggregate
+    text (or the legacy `aggregationResults`) is decoded.  The routing id is
+    `ruleId`, else `id`, else 'unknown'.  Text that is not a JSON object is
+    dropped.
     """
-    v = F.col(value_col)
-    parsed = F.from_json(v, _RAW_SCHEMA)
-    ok = F.json_object_keys(v).isNotNull()
-    has_rule = _key_present(v, "ruleId")
-    has_group = _key_present(v, "groupKey")
-    rule_id = F.when(has_rule, parsed["ruleId"]).otherwise(F.when(parsed["id"] != "", parsed["id"]))
-    group_key = F.when(has_group, parsed["groupKey"]).otherwise(
-        F.when(parsed["entityValue"] != "", parsed["entityValue"]))
-    agg_text = F.coalesce(parsed["aggResult"], parsed["aggregationResults"])
-    route = F.coalesce(F.nullif(rule_id, F.lit("")), F.nullif(parsed["id"], F.lit("")), F.lit("unknown"))
     rest = [c for c in raw.columns if c != value_col]
-    return raw.where(ok).select(
+    parsed = raw.select(*rest, F.try_parse_json(F.col(value_col)).alias("__v"))
+    v = F.col("__v")
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    rule_id = F.when(_field(v, "ruleId").isNotNull(), _text(v, "ruleId")) \
+        .otherwise(F.nullif(_text(v, "id"), F.lit("")))
+    group_key = F.when(_field(v, "groupKey").isNotNull(), _text(v, "groupKey")) \
+        .otherwise(F.nullif(_text(v, "entityValue"), F.lit("")))
+    agg_text = F.coalesce(_text(v, "aggResult"), _text(v, "aggregationResults"))
+    cnt, total = _decode_aggregates(agg_text)
+    return parsed.where(is_object).select(
         *rest,
-        rule_id.alias("ruleId"), route.alias("routeId"), group_key.alias("groupKey"),
-        parsed["windowStart"].alias("windowStart"), parsed["producedAt"].alias("producedAt"),
-        F.get_json_object(agg_text, "$.cnt").try_cast("long").alias("cnt"),
-        F.get_json_object(agg_text, "$.total").try_cast("double").alias("total"),
+        rule_id.alias("ruleId"), _route(rule_id, v).alias("routeId"), group_key.alias("groupKey"),
+        _text(v, "windowStart").alias("windowStart"), _text(v, "producedAt").alias("producedAt"),
+        cnt.alias("cnt"), total.alias("total"),
         coerce_breached(v).alias("thresholdBreached"), coerce_final(v).alias("isFinal"),
         F.lit("agg").alias("event_type"),
     )
@@ -240,13 +252,12 @@ def raw_anomaly_json(anomalies: DataFrame) -> DataFrame:
 
 def normalise_anomalies(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Raw anomaly JSON -> event_type 'anomaly', `ruleId` from a non-empty
-    `id` when the key is absent, routing id with 'unknown' fallback."""
-    v = F.col(value_col)
-    parsed = F.from_json(v, _RAW_SCHEMA)
-    has_rule = _key_present(v, "ruleId")
-    rule_id = F.when(has_rule, parsed["ruleId"]).otherwise(F.when(parsed["id"] != "", parsed["id"]))
-    route = F.coalesce(F.nullif(rule_id, F.lit("")), F.nullif(parsed["id"], F.lit("")), F.lit("unknown"))
+    `id` when the `ruleId` key is absent, routing id with 'unknown' fallback."""
     rest = [c for c in raw.columns if c != value_col]
-    return raw.where(F.json_object_keys(v).isNotNull()).select(
-        *rest, rule_id.alias("ruleId"), route.alias("routeId"), parsed["producedAt"].alias("producedAt"),
-        F.lit("anomaly").alias("event_type"))
+    parsed = raw.select(*rest, F.try_parse_json(F.col(value_col)).alias("__v"))
+    v = F.col("__v")
+    rule_id = F.when(_field(v, "ruleId").isNotNull(), _text(v, "ruleId")) \
+        .otherwise(F.nullif(_text(v, "id"), F.lit("")))
+    return parsed.where(F.schema_of_variant(v).startswith("OBJECT")).select(
+        *rest, rule_id.alias("ruleId"), _route(rule_id, v).alias("routeId"),
+        _text(v, "producedAt").alias("producedAt"), F.lit("anomaly").alias("event_type"))
