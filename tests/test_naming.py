@@ -31,3 +31,17 @@ def test_window_size_rules():
     assert RuleSpec.from_dict({"windowing": {}}).window.backtest_seconds() == 300
     assert RuleSpec.from_dict({"windowing": {"size_ms": 999}}).window.backtest_seconds() == 1
     assert RuleSpec.from_dict({"windowing": {"size_ms": 86400000}}).window.backtest_seconds() == 86400
+
+
+@pytest.mark.parametrize("grain", ["minute", "hour", "day"])
+def test_prefilter_keeps_whole_dedup_groups(grain):
+    import datetime as dt
+
+    from thresher.sources.events import GRAIN_SECONDS, EventSource
+
+    src = EventSource(dedup_grain=grain)
+    s, e = dt.datetime(2024, 1, 5, 10, 17, 33), dt.datetime(2024, 1, 6, 3, 4, 5)
+    lo, hi = src.prefilter_bounds(s, e)
+    w = GRAIN_SECONDS[grain]
+    assert lo <= s and (lo - dt.datetime(1970, 1, 1)).total_seconds() % w == 0
+    assert hi >= e and ((hi + dt.timedelta(microseconds=1)) - dt.datetime(1970, 1, 1)).total_seconds() % w == 0

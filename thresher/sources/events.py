@@ -68,16 +68,16 @@ class EventSource:
         time is part of the key, else the range widened to the grain."""
         if not self.dedup or not self.dedup_grain:
             return start, end
-        grain = self.dedup_grain.lower()
-        if grain == "hour":
-            lo = start.replace(minute=0, second=0, microsecond=0)
-            hi = end.replace(minute=0, second=0, microsecond=0) + dt.timedelta(hours=1) - dt.timedelta(microseconds=1)
-        elif grain == "day":
-            lo = start.replace(hour=0, minute=0, second=0, microsecond=0)
-            hi = end.replace(hour=0, minute=0, second=0, microsecond=0) + dt.timedelta(days=1) - dt.timedelta(microseconds=1)
-        else:
-            return dt.datetime.min, dt.datetime.max
-        return lo, hi
+        from thresher.functions.timeutil import BUCKET_ORIGIN_EPOCH_SECONDS
+
+        width = GRAIN_SECONDS[self.dedup_grain.lower()]
+        origin = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=BUCKET_ORIGIN_EPOCH_SECONDS % width)
+
+        def floor(t: dt.datetime) -> dt.datetime:
+            steps = (t - origin) // dt.timedelta(seconds=width)
+            return origin + steps * dt.timedelta(seconds=width)
+
+        return floor(start), floor(end) + dt.timedelta(seconds=width) - dt.timedelta(microseconds=1)
 
 
 STANDIN_SOURCE = EventSource()
@@ -153,3 +153,10 @@ def matched_events(raw: DataFrame, source: EventSource, start: dt.datetime, end:
     pre = raw.where(t.between(ntz_literal(lo), ntz_literal(hi)))
     deduped = latest_deliveries(pre, source)
     return flat_events(deduped.where(t.between(ntz_literal(start), ntz_literal(end))), source)
+
+
+def read_lake_table(spark: SparkSession, name: str) -> DataFrame:
+    """The event table from the catalog (an Iceberg/Delta table on a
+    cluster): snapshots, manifests, delete files and partition pruning are
+    the catalog's job; filters placed on the result reach its scan."""
+    return spark.table(name)

@@ -81,3 +81,25 @@ class ViewMerger:
             return spark.read.parquet(self.snapshot_path(epoch - 1))
         except Exception:  # noqa: BLE001 - no snapshot yet (empty first batches)
             return None if self.last_epoch is None else spark.read.parquet(self.snapshot_path(self.last_epoch))
+
+
+def kafka_message_stream(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
+                         max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """Result (or anomaly) messages from a Kafka topic: the record value as
+    JSON text and the partition offset as arrival order, ready for
+    `normalise_results` / `normalise_anomalies`.  `maxOffsetsPerTrigger`
+    bounds a micro-batch (back-pressure).  Needs the Kafka connector jar."""
+    r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+         .option("subscribe", topic).option("startingOffsets", starting))
+    if max_offsets_per_trigger:
+        r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
+    return r.load().select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"),
+                           F.col("partition"), F.col("timestamp").alias("kafka_ts"))
+
+
+def publish_to_kafka(records: DataFrame, servers: str, topic: str) -> None:
+    """Write (key, value) records -- e.g. `operators.rulestore.publish_records`
+    -- to a Kafka topic with all-replica acknowledgement."""
+    (records.select(F.col("key").cast("string"), F.col("value").cast("string"))
+     .write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+     .option("kafka.acks", "all").save())
