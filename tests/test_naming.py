@@ -45,3 +45,16 @@ def test_prefilter_keeps_whole_dedup_groups(grain):
     w = GRAIN_SECONDS[grain]
     assert lo <= s and (lo - dt.datetime(1970, 1, 1)).total_seconds() % w == 0
     assert hi >= e and ((hi + dt.timedelta(microseconds=1)) - dt.datetime(1970, 1, 1)).total_seconds() % w == 0
+
+
+def test_validation_create_vs_update(spark):
+    from thresher.operators.rulestore import validate_drafts
+
+    df = spark.createDataFrame(
+        [("a", "", "SLIDING", 1000, 5000, 1), ("b", "B", "NONE", 0, 0, 0), ("c", "C", "TUMBLING", 0, 0, 0)],
+        "rule_id string, name string, window_type string, window_size_ms long, slide_ms long, n_aggs int")
+    create = {r.rule_id: (r.name, list(r.errors)) for r in validate_drafts(df).collect()}
+    assert create["a"] == ("a", ["windowing.slide_ms must not exceed windowing.size_ms for SLIDING windows"])
+    assert create["b"][1] == [] and len(create["c"][1]) == 3
+    update = {r.rule_id: list(r.errors) for r in validate_drafts(df, for_update=True).collect()}
+    assert update["a"] == [] and len(update["c"]) == 2

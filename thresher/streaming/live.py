@@ -27,11 +27,27 @@ from thresher.sources.results import normalise_results
 STATE_COLS = ["ruleId", "groupKey", "windowStart", "cnt", "total", "thresholdBreached", "isFinal", "seq"]
 
 
-def keyed_latest(normalised: DataFrame) -> DataFrame:
-    """Streaming upsert: the state store keeps one row per key."""
+def keyed_latest(normalised: DataFrame, retention_hours: float | None = None) -> DataFrame:
+    """Streaming upsert: the state store keeps one row per key.
+
+    With a retention, the parsed window start joins the key with a
+    watermark of that delay: state of windows older than the newest window
+    start minus the retention is evicted, and messages for such windows are
+    dropped -- the stream form of the retention prune, and what keeps the
+    state bounded.  Messages whose window start does not parse are dropped
+    when a retention is set (they could never be evicted)."""
+    from thresher.functions.timeutil import ntz_to_instant, parse_window_start_col
+
     others = [c for c in STATE_COLS if c not in KEY]
     best = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col("isFinal"), F.col("seq")))
-    agg = normalised.groupBy(*KEY).agg(best.alias("__r"), F.min("seq").alias("first_seq"))
+    keys = list(KEY)
+    src = normalised
+    if retention_hours is not None:
+        ws = ntz_to_instant(parse_window_start_col(F.col("windowStart")))
+        src = src.withColumn("__ws", ws).where(F.col("__ws").isNotNull()) \
+            .withWatermark("__ws", f"{int(retention_hours * 3600)} seconds")
+        keys.append("__ws")
+    agg = src.groupBy(*keys).agg(best.alias("__r"), F.min("seq").alias("first_seq"))
     return agg.select(*KEY, *[F.col(f"__r.{c}").alias(c) for c in others], "first_seq")
 
 
