@@ -119,3 +119,36 @@ def publish_to_kafka(records: DataFrame, servers: str, topic: str) -> None:
     (records.select(F.col("key").cast("string"), F.col("value").cast("string"))
      .write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
      .option("kafka.acks", "all").save())
+
+
+class DeltaPublisher:
+    """foreachBatch target for push deltas: each micro-batch is one flush.
+
+    Within the batch, updates of one (rule, group, window) coalesce to one
+    row (a final row is never replaced by a partial one), first-arrival
+    order is kept in `first_seq`, and a rule keeps at most `max_rows` rows
+    per flush (the oldest first arrivals are dropped).  Optionally the
+    batch's consumption-delay histogram is written too.  Output is keyed
+    by epoch, so a replayed epoch overwrites its own files."""
+
+    def __init__(self, path: str, max_rows: int = 5000, metrics_path: str | None = None,
+                 consumed_col: str | None = None):
+        self.path = path.rstrip("/")
+        self.max_rows = max_rows
+        self.metrics_path = metrics_path.rstrip("/") if metrics_path else None
+        self.consumed_col = consumed_col
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        from thresher.operators.livestate import delta_batches
+        from thresher.operators.metrics import delay_histogram
+
+        batch.persist()
+        try:
+            flushed = delta_batches(batch.withColumn("flush", F.lit(epoch).cast("long")), "flush", self.max_rows)
+            flushed.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+            if self.metrics_path and self.consumed_col:
+                hist = delay_histogram(batch.withColumn("__topic", F.lit("results")), "__topic", "producedAt",
+                                       self.consumed_col)
+                hist.write.mode("overwrite").parquet(f"{self.metrics_path}/epoch={epoch}")
+        finally:
+            batch.unpersist()
