@@ -43,8 +43,8 @@ pairs AS (
   SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
   FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (na + nb - c)),
-both AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
-reach AS (SELECT u AS node, v AS other FROM both UNION SELECT reach.node, both.v FROM reach JOIN both ON reach.other = both.u),
+sides AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT u AS node, v AS other FROM sides UNION SELECT reach.node, sides.v FROM reach JOIN sides ON reach.other = sides.u),
 least AS (SELECT node, min(other) AS smallest FROM reach GROUP BY node)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(smallest, doc_id))::BIGINT AS component_id
 FROM sets LEFT JOIN least ON node = doc_id
