@@ -56,3 +56,91 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thresher.llm.jaccard_join import jaccard_groups
 
     return jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_ann_posting_lists")
+def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.ann_posting import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_source_mix")
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op4_slot_sharding")
+def op4_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    from thresher.llm.shared import shared_dir
+    from thresher.llm.sharding import shard
+
+    dealt = shard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/slot-map-{uuid4().hex}")
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query("op5_token_lengths")
+def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.token_counts import length_histogram, token_lengths
+
+    return length_histogram(token_lengths(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.sp_viterbi import encode
+
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.pii_boost import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+TOPK_SQL = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM kept q JOIN kept c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op10_exact_topk", TOPK_SQL)
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thresher.llm.topk_bond import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
