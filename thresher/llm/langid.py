@@ -25,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from thresher.llm.shared import plus
 
 DIM = 1 << 14
 GRAMS = 4
@@ -225,8 +228,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_of: Callable[[pa.
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.clip(sure, 0, 1), pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, plus(docs.schema, lang_pred=T.StringType(), score=T.DoubleType()))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -110,24 +110,29 @@ def _luhn(digits: Column) -> Column:
     return F.when(F.length(digits).between(2, 30), F.call_function("luhn_check", digits)).otherwise(False)
 
 
+def _described(k: int, kind: str, plain: bool) -> Callable[[Column], Column]:
+    """A match as a candidate: its span, whether it counts as true, its features."""
+    def described(m: Column) -> Column:
+        digits = F.regexp_replace(m["found"], "[^0-9]", "")
+        n = F.length(digits)
+        context = F.coalesce(*[F.when(m["lead"].rlike(p), c) for c, p in CONTEXT], F.lit(0))
+        size = F.when(n == 0, 0).when(n <= 8, 1).when(n == 9, 2).when(n == 10, 3).when(n <= 12, 4).when(n <= 15, 5).when(n <= 19, 6).otherwise(7)
+        return F.struct(
+            F.lit(k).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), (F.lit(plain) & _valid(kind, m["found"])).alias("base"),
+            _valid(kind, m["found"]).alias("valid"), F.lit(plain).alias("plain"), size.alias("digits"), _luhn(digits).cast("int").alias("luhn"),
+            _octets(m["found"]).cast("int").alias("octets"), F.least(F.size(F.split(m["found"], "[^0-9]+")) - 1, F.lit(4)).alias("groups"),
+            _char_class(F.right(m["lead"], F.lit(1))).alias("before"), _char_class(m["next"]).alias("after"), context.alias("context"))
+
+    return described
+
+
 def candidates(text: Column) -> Column:
     """Every proposed span: array of (kind, start, stop, base, the features).
     kind is its place in KINDS; base: a plain pattern's match that passed."""
     parts = []
     for k, kind in enumerate(KINDS):
         for plain, pattern in ((True, BASE[kind]), (False, WIDE[kind])):
-            def described(m: Column, k=k, kind=kind, plain=plain) -> Column:
-                digits = F.regexp_replace(m["found"], "[^0-9]", "")
-                n = F.length(digits)
-                context = F.coalesce(*[F.when(m["lead"].rlike(p), c) for c, p in CONTEXT], F.lit(0))
-                size = F.when(n == 0, 0).when(n <= 8, 1).when(n == 9, 2).when(n == 10, 3).when(n <= 12, 4).when(n <= 15, 5).when(n <= 19, 6).otherwise(7)
-                return F.struct(
-                    F.lit(k).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), (F.lit(plain) & _valid(kind, m["found"])).alias("base"),
-                    _valid(kind, m["found"]).alias("valid"), F.lit(plain).alias("plain"), size.alias("digits"), _luhn(digits).cast("int").alias("luhn"),
-                    _octets(m["found"]).cast("int").alias("octets"), F.least(F.size(F.split(m["found"], "[^0-9]+")) - 1, F.lit(4)).alias("groups"),
-                    _char_class(F.right(m["lead"], F.lit(1))).alias("before"), _char_class(m["next"]).alias("after"), context.alias("context"))
-
-            parts.append(F.when(text.rlike(MAY[kind]) & text.rlike(pattern), F.transform(_matches(text, pattern), described)))
+            parts.append(F.when(text.rlike(MAY[kind]) & text.rlike(pattern), F.transform(_matches(text, pattern), _described(k, kind, plain))))
     empty = F.array().cast("array<struct<kind:int,start:bigint,stop:bigint,base:boolean,valid:boolean,plain:boolean,digits:int,luhn:int,octets:int,groups:int,before:int,after:int,context:int>>")
     return F.concat(*[F.coalesce(p, empty) for p in parts])
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plus(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """A schema with more columns."""
+    return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,8 +28,9 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from thresher.llm.shared import mix64
+from thresher.llm.shared import mix64, plus
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMORY = 600_000  # distinct words remembered by a worker, about
@@ -244,7 +245,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text") -> DataFram
                      pa.array([None if c is None else len(c) for c in ids], pa.int64()), pa.array(same, pa.bool_())],
                     [*kept, "token_ids", "n_tokens", "round_trip"])
 
-    schema = lean.drop("_text").schema.add("token_ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean")
+    schema = plus(lean.drop("_text").schema, token_ids=T.ArrayType(T.IntegerType()), n_tokens=T.LongType(), round_trip=T.BooleanType())
     return lean.select(*kept, "_text").mapInArrow(run, schema)
 
 
@@ -258,4 +259,4 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if ids is None else model.decode(np.array(ids, np.int64)) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
-    return coded.select(*kept).mapInArrow(run, coded.select(*kept).schema.add("text", "string"))
+    return coded.select(*kept).mapInArrow(run, plus(coded.select(*kept).schema, text=T.StringType()))

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from thresher.llm.shared import stored
+from thresher.llm.shared import plus, stored
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The fixed split pattern of this vocabulary.
@@ -70,7 +71,7 @@ def token_lengths(docs: DataFrame, path: str = RANKS) -> DataFrame:
             counts = [sum(len(encoder.encode_ordinary(p)) for p in _pieces(t)) if t else 0 for t in batch.column("_text").cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(counts, pa.int64())], [*kept, "n_tokens"])
 
-    return lean.mapInArrow(run, lean.drop("_text").schema.add("n_tokens", "long"))
+    return lean.mapInArrow(run, plus(lean.drop("_text").schema, n_tokens=T.LongType()))
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

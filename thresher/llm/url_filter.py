@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from thresher.llm.shared import mix64
+from thresher.llm.shared import mix64, plus
 
 # (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -123,6 +124,6 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> D
             p = given.value.block_probability(batch.column("host").to_pylist(), batch.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "block_probability"])
 
-    scored = parsed.mapInArrow(run, parsed.schema.add("block_probability", "double"))
+    scored = parsed.mapInArrow(run, plus(parsed.schema, block_probability=T.DoubleType()))
     chosen = F.coalesce("_ruled", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", chosen.alias("verdict"), "block_probability")
