@@ -9,11 +9,12 @@ source stays exactly its target while any fraction is left.
 
 The rounding is a distributed reduction tree: documents of a source are dealt
 by hash into groups of about GROUP rows, each group is one small task that
-leaves at most RESERVE + 1 fractions (its smallest documents are kept back, so
-that what remains can be placed finely), and the fractions of FAN_IN groups
-meet on the next level, until one group per source is left.  There the last
-fractions are rounded largest first, each carrying its error to the next, which
-leaves an error of about half the smallest document.  A hot source is many
+leaves one fraction and those it holds back, one for each of some 50 classes of
+size, and the fractions of FAN_IN groups meet on the next level, until one
+group per source is left.  There the last fractions are rounded largest first,
+each carrying its error to the next, a little smaller one, which leaves an
+error of about the smallest document; turning one or two of them around
+brings it down to a few words.  A hot source is many
 groups; nothing is gathered in one task but the fractions.
 
 Defined cases: a null or blank text has size 0 and adds no words; a null source is a
@@ -34,7 +35,7 @@ from thresher.llm.shared import stored
 
 GROUP = 4096
 FAN_IN = 64
-RESERVE = 32
+RESERVE = 1.25  # ratio of the size classes of which one document each is held back
 _ROUNDED = "doc_id long, source string, size long, salt long, grp long, p double, extra int"
 
 
@@ -96,6 +97,23 @@ def pivotal(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
     return p
 
 
+def _settled(size: np.ndarray, taken: np.ndarray, missing: float) -> np.ndarray:
+    """The last roundings with one or two turned around at a time, as long as
+    that brings the mass nearer to its target (`missing` is still to be taken)."""
+    taken = taken.copy()
+    while len(taken):
+        change = np.append(np.where(taken > 0, -size, size), 0.0)  # the last place: nothing more
+        both = np.abs(missing - (change[:, None] + change)) + np.where(np.eye(len(change), dtype=bool), np.inf, 0)
+        i, j = np.unravel_index(both.argmin(), both.shape)
+        if both[i, j] >= abs(missing) - 1e-9:
+            break
+        missing -= change[i] + change[j]
+        for k in (i, j):
+            if k < len(taken):
+                taken[k] = 1 - taken[k]
+    return taken
+
+
 def _reduce(root: bool):
     """Round one group's fractions, but for a few; at the root, all."""
 
@@ -103,17 +121,21 @@ def _reduce(root: bool):
         rows = rows.sort_values(["size", "salt", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
         size, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
         rng = np.random.default_rng(_seed(key, len(rows), int(rows["salt"].to_numpy(np.int64).sum())))
-        cut = max(0, len(p) - RESERVE)
-        if cut > 1:
-            p[:cut] = pivotal(size[:cut], p[:cut], rng)
+        # held back: the first document of each size class
+        step = np.floor(np.log(size) / np.log(RESERVE))
+        free = np.flatnonzero(np.append(False, step[1:] == step[:-1]))
+        if len(free) > 1:
+            p[free] = pivotal(size[free], p[free], rng)
         if root:
-            carry = 0.0
+            carry, last = 0.0, []
             for i in range(len(p)):
                 if 0 < p[i] < 1:
                     want = p[i] + carry / size[i]
                     taken = 1.0 if want >= 0.5 else 0.0
                     carry += (p[i] - taken) * size[i]
                     p[i] = taken
+                    last.append(i)
+            p[last] = _settled(size[last], p[last], carry)
         done = (p == 0) | (p == 1)
         rows["extra"] = pd.array(np.where(done, p, -1).astype(np.int32), dtype="int32")
         rows["p"] = p
