@@ -9,7 +9,7 @@ from thresher.sources.access_tables import permissions, policy_grants, roles
 def test_seed_counts(spark):
     r, p = roles(spark), permissions(spark)
     assert r.count() == 4 and p.count() == 11
-    rp = role_permission_names(r, policy_grants(p), p)
+    rp = role_permission_names(r, policy_grants(spark), p)
     top = {x.permission for x in rp.where("role = 'SUPER_ADMIN'").collect()}
     assert len(top) == 11
     editor = {x.permission for x in rp.where("role = 'RULE_EDITOR'").collect()}

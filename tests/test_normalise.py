@@ -63,6 +63,7 @@ def test_window_start_epoch_millis(spark):
 
 
 def test_double_text(spark):
-    df = spark.createDataFrame([(15000000.0,), (123456789.25,), (6.55,), (1e16,)], "x double")
+    values = [15000000.0, 123456789.25, 6.55, 1e16, 1.5e-5, 0.0005, -0.0001, 12345678.1234567, 1e15, 1e-300, -2.5e120, 0.0, 1234567890123456.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r[0] for r in df.select(number_text(F.col("x"), df.schema["x"].dataType)).collect()]
-    assert got == ["15000000.0", "123456789.25", "6.55", "1.0E16"]
+    assert got == [repr(v) for v in values]

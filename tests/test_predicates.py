@@ -124,3 +124,27 @@ def test_filters_reach_the_scan(spark):
     pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
     assert "GreaterThanOrEqual(ts" in pushed
     assert "WindowGroupLimit" in plan
+
+
+def test_in_list_of_mixed_kinds(spark):
+    from thresher.functions.predicates import filter_frame
+
+    df = spark.createDataFrame([("5",), ("a",), ("5.0",), ("true",), ("b",)], "x string")
+    tree = {"type": "condition", "field": "x", "operator": "IN", "value": [5, "a", True]}
+    assert sorted(r.x for r in filter_frame(df, tree).collect()) == ["5", "5.0", "a", "true"]
+
+
+def test_epoch_out_of_range_drops_the_leaf(spark):
+    from thresher.functions.predicates import filter_frame
+
+    df = spark.range(3).selectExpr("id", "timestamp_ntz'2024-01-01 00:00:00' ts")
+    tree = {"type": "condition", "field": "ts", "operator": "DATE_BEFORE", "value": "99999999999999999", "format": "EPOCH_MILLIS"}
+    assert filter_frame(df, tree).count() == 3
+
+
+def test_contains_on_small_doubles(spark):
+    from thresher.functions.predicates import filter_frame
+
+    df = spark.createDataFrame([(0.0005,), (15000000.25,), (2.0,)], "x double")
+    tree = {"type": "condition", "field": "x", "operator": "CONTAINS", "value": "0.0005"}
+    assert [r.x for r in filter_frame(df, tree).collect()] == [0.0005]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from thresher.functions.threshold import clean_expression, compile_threshold, ThresholdError
+from thresher.functions.threshold import compile_threshold, ThresholdError, tokens
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +57,7 @@ def test_alias_case_is_not_folded(frame):
 
 def test_scientific_literal_rejected():
     with pytest.raises(ThresholdError):
-        clean_expression("total > 1e5", {"total"})
+        tokens("total > 1e5", {"total"})
 
 
 def test_unsafe_characters_rejected(frame):
@@ -79,3 +79,23 @@ def test_arithmetic(frame):
 def test_chained_comparison_rejected(frame):
     got, th = flags(frame, "1 < cnt < 5")
     assert got == [False] * 4 and th.error
+
+
+@pytest.mark.parametrize("expr,want", [
+    ("CASE WHEN total / (cnt - 3) > 3 THEN true ELSE cnt = 3 END", [True, False, False, False]),
+    ("CASE cnt WHEN 3 THEN true WHEN 1 THEN total > 4 END", [True, True, False, False]),
+    ("case when cnt > 2 then case when total > 1 then true else false end else false end", [True, False, False, False]),
+    ("total / (cnt - cnt) > 1 || cnt = 5", [False, False, False, True]),
+    ("-cnt + 2 * (1 + 1) >= 3 && true", [False, True, False, False]),
+    ("- - cnt = 3", [True, False, False, False]),
+])
+def test_case_and_division(frame, expr, want):
+    got, th = flags(frame, expr)
+    # row 3 (cnt 0, total null) and the rest follow SQL's three-valued logic
+    assert th.error is None and [got[0], got[1], got[3]] == [want[0], want[1], want[3]]
+
+
+@pytest.mark.parametrize("expr", ["CASE WHEN cnt > 2 THEN", "CASE END", "CASE WHEN cnt > 1 THEN true", "cnt >", "(cnt > 1", "cnt > 1)", "AND", "cnt ! 1", "cnt > 1 total", "1 e5", "cnt > 2 & total > 1", ")"])
+def test_malformed_text_is_false_never_an_error(frame, expr):
+    got, th = flags(frame, expr)
+    assert got == [False] * 4 and th.error

@@ -170,7 +170,7 @@ def compile_filter(node: dict | None, ctx: FilterContext) -> Column | None:
     if kind == "condition":
         try:
             return _compile_leaf(node, ctx)
-        except (ValueError, TypeError) as exc:
+        except (ValueError, TypeError, OverflowError) as exc:
             if ctx.strict:
                 raise FilterError(str(exc)) from exc
             log.warning("dropping filter leaf %r: %s", node, exc)
@@ -197,9 +197,13 @@ def _compile_leaf(node: dict, ctx: FilterContext) -> Column | None:
         items = _split_in_values(value)
         if not items:
             raise ValueError("empty IN list")
-        bound = [bind_value(col, dtype, v) for v in items]
-        c = bound[0][0]
-        return c.isin([b[1] for b in bound])
+        # each item fixes how the column is read (as text, as a number ..), so items are grouped by their kind
+        bound = [(isinstance(v, (bool, int, float)), isinstance(v, bool), *bind_value(col, dtype, v)) for v in items]
+        groups: dict[tuple, list] = {}
+        for number, flag, side, literal in bound:
+            groups.setdefault((number, flag), [side, []])[1].append(literal)
+        return functools.reduce(lambda a, b: a | b, (F.coalesce(side.isin(literals), F.lit(False)) if len(groups) > 1 else side.isin(literals)
+                                                     for side, literals in groups.values()))
     from thresher.functions.timeutil import number_text
 
     if op == "REGEX":
@@ -236,40 +240,16 @@ def uses_code_list(node: dict | None) -> bool:
     return any(uses_code_list(c) for c in (node.get("conditions") or []) if isinstance(c, dict))
 
 
-def referenced_fields(node: dict | None) -> set[str]:
-    """Columns a filter tree reads (after name translation), for pruning and
-    for deciding where a filter may be evaluated."""
-    out: set[str] = set()
-    if not node:
-        return out
-    if node.get("type") == "condition":
-        if node.get("operator") == CODE_LIST_OPERATOR:
-            out.add(CODE_LIST_MARKER)
-            return out
-        try:
-            out.add(column_for(str(node.get("field") or "")))
-        except ValueError:
-            pass
-        return out
-    for c in node.get("conditions") or []:
-        if isinstance(c, dict):
-            out |= referenced_fields(c)
-    return out
-
-
 def attach_code_list(df: DataFrame, codes: DataFrame, field_col: str,
-                     code_col: str | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                     code_col: str | None = None) -> DataFrame:
     """Add a boolean marker column: does `field_col` appear in the code list?
 
     The list is a table, so it can be maintained as data.  It is made
-    distinct first; it is broadcast only when a bounded count proves it
-    small, otherwise the join shuffles (AQE splits skewed partitions).
+    distinct first; AQE broadcasts it when its size at run time is small,
+    otherwise the join shuffles (and AQE splits skewed partitions).
     """
-    from thresher.operators.joins import sized_broadcast
-
     code_col = code_col or codes.columns[0]
     marks = codes.select(F.col(code_col).alias("__code")).distinct().withColumn(CODE_LIST_MARKER, F.lit(True))
-    marks = sized_broadcast(marks, max_broadcast_rows)
     joined = df.join(marks, df[field_col] == marks["__code"], "left")
     return joined.drop("__code")
 

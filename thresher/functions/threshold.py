@@ -1,28 +1,21 @@
 """Threshold text -> boolean Column over the aggregate aliases.
 
 Accepted: aliases, numbers, + - * /, comparisons (= == != <> < > <= >=),
-AND / OR / NOT (any case) and the JS spellings && || ==, true / false,
-parentheses, and CASE WHEN ... THEN ... ELSE ... END.
-
-Rules kept from the rule editor's contract:
-  * only a whitelist of characters is allowed;
-  * every identifier must be a keyword or an alias -- aliases are lower-case
-    (they went through identifier validation), tokens are not folded, so
-    `Total > 1` against alias `total` is rejected;
-  * `1e5` is rejected (`e5` reads as an identifier);
-  * a rejected or empty expression gives a constant false flag, never an
-    error; a null result is false;
-  * `/` never fails: division by zero gives null (-> false).
-
-The text is rewritten into Python syntax and walked with Python's own `ast`
-module; each node becomes a built-in Column expression.  CASE forms go to
-Spark's SQL expression parser instead (there, `/` is made safe by the same
-null-on-zero rule via `try_divide`).
+AND / OR / NOT in any case or as && and ||, true / false, parentheses, and
+CASE [operand] WHEN .. THEN .. [ELSE ..] END.
+
+Each grammar rule below yields a built-in Column, so the flag is part of the
+aggregate's plan.  Contract:
+
+  * identifiers are keywords or aliases, as written (`Total` is not `total`),
+    so `1e5` is rejected: `e5` reads as an identifier;
+  * text that doesn't parse, or an empty one, gives a constant false flag and
+    never an error; a null result is false;
+  * `/` never fails: division by zero is null.
 """
 
 from __future__ import annotations
 
-import ast
 import logging
 import re
 from dataclasses import dataclass
@@ -32,10 +25,11 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-# The allowed character set, identifier tokens, and keywords.
-SAFE_PATTERN = re.compile(r"^[\s()a-zA-Z0-9_.><!=+\-*/]+$")
-IDENT_PATTERN = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
-KEYWORDS = {"AND", "OR", "NOT", "true", "false", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END"}
+# The keywords of threshold text (in any case).
+KEYWORDS = {"AND", "OR", "NOT", "TRUE", "FALSE", "CASE", "WHEN", "THEN", "ELSE", "END"}
+
+_TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*|\.\d+)|(?P<word>[A-Za-z_]\w*)|(?P<sign>&&|\|\||==|<=|>=|!=|<>|[=<>()+*/-])|(?P<other>\S))", re.ASCII)
+_SAME = {"&&": "AND", "||": "OR", "==": "=", "<>": "!="}
 
 
 class ThresholdError(ValueError):
@@ -47,132 +41,126 @@ class Threshold:
     """Compiled threshold: the flag column and, if rejected, why."""
 
     column: Column
-    cleaned: str
     error: str | None = None
 
 
-def clean_expression(expr: str, aliases: set[str]) -> str:
-    """JS operators -> SQL, whitelist check, identifier check.  Returns the
-    cleaned text ('' for no expression) or raises ThresholdError."""
-    if not expr:
-        return ""
-    text = expr.replace("&&", " AND ").replace("||", " OR ").replace("==", "=")
-    text = text.strip()
-    if not text:
-        return ""
-    if not SAFE_PATTERN.match(text):
-        raise ThresholdError(f"unsafe expression rejected: {expr!r}")
-    for tok in IDENT_PATTERN.findall(text):
-        if tok in KEYWORDS or tok.upper() in KEYWORDS:
-            continue
-        if tok not in aliases:
-            raise ThresholdError(f"unknown identifier in expression: {tok!r}")
-    return text
-
-
-_TOKEN = re.compile(r"\s*(<=|>=|!=|<>|=|<|>|\(|\)|\+|-|\*|/|[A-Za-z_][A-Za-z0-9_]*|\d+\.?\d*|\.\d+|\S)")
-
-
-def _to_python(text: str) -> str:
-    out = []
-    pos = 0
-    while pos < len(text):
-        m = _TOKEN.match(text, pos)
-        if not m:
-            break
-        tok = m.group(1)
-        pos = m.end()
-        up = tok.upper()
-        if up == "AND":
-            out.append(" and ")
-        elif up == "OR":
-            out.append(" or ")
-        elif up == "NOT":
-            out.append(" not ")
-        elif up == "TRUE":
-            out.append("True")
-        elif up == "FALSE":
-            out.append("False")
-        elif tok == "=":
-            out.append("==")
-        elif tok == "<>":
-            out.append("!=")
-        else:
-            out.append(tok)
-        out.append(" ")
-    return "".join(out)
-
-
-_CMP = {
-    ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b,
-    ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b,
-    ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b,
-}
-
-
-def _walk(node: ast.AST, columns: dict[str, Column]) -> Column:
-    if isinstance(node, ast.Expression):
-        return _walk(node.body, columns)
-    if isinstance(node, ast.BoolOp):
-        parts = [_walk(v, columns) for v in node.values]
-        acc = parts[0]
-        for p in parts[1:]:
-            acc = (acc & p) if isinstance(node.op, ast.And) else (acc | p)
-        return acc
-    if isinstance(node, ast.UnaryOp):
-        inner = _walk(node.operand, columns)
-        if isinstance(node.op, ast.Not):
-            return ~inner
-        if isinstance(node.op, ast.USub):
-            return -inner
-        if isinstance(node.op, ast.UAdd):
-            return inner
-    if isinstance(node, ast.BinOp):
-        a, b = _walk(node.left, columns), _walk(node.right, columns)
-        if isinstance(node.op, ast.Add):
-            return a + b
-        if isinstance(node.op, ast.Sub):
-            return a - b
-        if isinstance(node.op, ast.Mult):
-            return a * b
-        if isinstance(node.op, ast.Div):
-            return F.try_divide(a.cast("double"), b.cast("double"))
-    if isinstance(node, ast.Compare):
-        if len(node.ops) != 1:
-            raise ThresholdError("chained comparisons are not supported")
-        return _CMP[type(node.ops[0])](_walk(node.left, columns), _walk(node.comparators[0], columns))
-    if isinstance(node, ast.Name):
-        if node.id not in columns:
-            raise ThresholdError(f"unknown identifier {node.id!r}")
-        return columns[node.id]
-    if isinstance(node, ast.Constant) and isinstance(node.value, (bool, int, float)):
-        return F.lit(node.value)
-    raise ThresholdError(f"unsupported construct: {ast.dump(node)[:60]}")
-
-
-_DIV_SQL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?)\s*/\s*([A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?)")
+def tokens(text: str, aliases: set[str]) -> list[str]:
+    """The tokens of threshold text: keywords in capitals, aliases as they are."""
+    found = []
+    for m in _TOKEN.finditer(text.rstrip()):
+        token = m[m.lastgroup]
+        if m.lastgroup == "other":
+            raise ThresholdError(f"{token!r} has no place in a threshold")
+        if m.lastgroup == "word" and token not in aliases:
+            if token.upper() not in KEYWORDS:
+                raise ThresholdError(f"no aggregate is called {token!r}")
+            token = token.upper()
+        found.append(_SAME.get(token, token))
+    return found
+
+
+class _Reader:
+    """Recursive descent over the tokens; every rule returns a Column."""
+
+    def __init__(self, found: list[str], columns: dict[str, Column]) -> None:
+        self.left, self.columns = found[::-1], columns
+
+    def next_is(self, *wanted: str) -> str | None:
+        return self.left.pop() if self.left and self.left[-1] in wanted and self.left[-1] not in self.columns else None
+
+    def must(self, wanted: str) -> None:
+        if not self.next_is(wanted):
+            raise ThresholdError(f"expected {wanted}, found {self.left[-1] if self.left else 'the end'}")
+
+    def whole(self) -> Column:
+        value = self.either()
+        if self.left:
+            raise ThresholdError(f"unexpected {self.left[-1]!r}")
+        return value
+
+    def either(self) -> Column:
+        value = self.both()
+        while self.next_is("OR"):
+            value = value | self.both()
+        return value
+
+    def both(self) -> Column:
+        value = self.negated()
+        while self.next_is("AND"):
+            value = value & self.negated()
+        return value
+
+    def negated(self) -> Column:
+        return ~self.negated() if self.next_is("NOT") else self.compared()
+
+    def compared(self) -> Column:
+        a = self.sum()
+        sign = self.next_is("=", "!=", "<", "<=", ">", ">=")
+        if not sign:
+            return a
+        b = self.sum()
+        return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[sign]
+
+    def sum(self) -> Column:
+        value = self.product()
+        while sign := self.next_is("+", "-"):
+            value = value + self.product() if sign == "+" else value - self.product()
+        return value
+
+    def product(self) -> Column:
+        value = self.signed()
+        while sign := self.next_is("*", "/"):
+            other = self.signed()
+            value = value * other if sign == "*" else F.try_divide(value.cast("double"), other.cast("double"))
+        return value
+
+    def signed(self) -> Column:
+        if sign := self.next_is("+", "-"):
+            return -self.signed() if sign == "-" else self.signed()
+        return self.atom()
+
+    def atom(self) -> Column:
+        if self.next_is("("):
+            value = self.either()
+            self.must(")")
+            return value
+        if self.next_is("CASE"):
+            return self.case()
+        if word := self.next_is("TRUE", "FALSE"):
+            return F.lit(word == "TRUE")
+        token = self.left.pop() if self.left else ""
+        if token in self.columns:
+            return self.columns[token]
+        if token and token[0] in ".0123456789":
+            return F.lit(int(token)) if token.isdigit() and len(token) < 19 else F.lit(float(token))
+        raise ThresholdError(f"unexpected {token or 'end'!r}")
+
+    def case(self) -> Column:
+        operand = None if self.left and self.left[-1] == "WHEN" else self.either()
+        chain = F
+        self.must("WHEN")
+        while True:
+            when = self.either()
+            self.must("THEN")
+            chain = chain.when(when if operand is None else operand == when, self.either())
+            if not self.next_is("WHEN"):
+                break
+        if self.next_is("ELSE"):
+            chain = chain.otherwise(self.either())
+        self.must("END")
+        return chain
 
 
 def compile_threshold(expr: str | None, aliases: list[str] | set[str],
                       columns: dict[str, Column] | None = None) -> Threshold:
     """Threshold text -> Threshold(column=boolean never null)."""
-    aliases = set(aliases)
-    columns = columns or {a: F.col(a) for a in aliases}
-    try:
-        cleaned = clean_expression(expr or "", aliases)
-    except ThresholdError as exc:
-        log.warning("threshold rejected: %s", exc)
-        return Threshold(F.lit(False), "", str(exc))
-    if not cleaned:
-        return Threshold(F.lit(False), "")
+    columns = columns or {a: F.col(a) for a in set(aliases)}
     try:
-        if re.search(r"\bCASE\b", cleaned, flags=re.IGNORECASE):
-            sql = _DIV_SQL.sub(r"try_divide(\1, \2)", cleaned)
-            pred = F.expr(sql)
-        else:
-            tree = ast.parse(_to_python(cleaned), mode="eval")
-            pred = _walk(tree, columns)
-    except (SyntaxError, ThresholdError, KeyError) as exc:
+        found = tokens(expr or "", set(aliases))
+        if not found:
+            return Threshold(F.lit(False))
+        flag = _Reader(found, columns).whole()
+    except (ThresholdError, RecursionError) as exc:
         log.warning("threshold rejected: %s", exc)
-        return Threshold(F.lit(False), cleaned, str(exc))
-    return Threshold(F.coalesce(pred.cast("boolean"), F.lit(False)), cleaned)
+        return Threshold(F.lit(False), str(exc))
+    return Threshold(F.coalesce(flag.try_cast("boolean"), F.lit(False)))

@@ -1,8 +1,8 @@
 """Access and audit reports over the access tables.
 
-The role and permission tables are tiny and bounded by design (a role
-catalogue), so they are broadcast after a size check; the user and audit
-tables are the large ones and are only ever shuffled on their own keys.
+The role and permission tables are small; whether a join broadcasts them is
+left to Spark, which sees their size at run time.  The user and audit tables
+are the large ones and are only ever shuffled on their own keys.
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thresher.functions.timeutil import ntz_text
-from thresher.operators.joins import sized_broadcast
 
-MAX_CATALOGUE_ROWS = 100_000
 AUDIT_PAGE = 200
 TOP_ROLE = "SUPER_ADMIN"
 
@@ -32,14 +30,14 @@ def effective_permissions(users: DataFrame, user_roles: DataFrame, roles: DataFr
     """Every active user's role and permissions.  One role per user (the
     key of user_roles) and a distinct role->permission side make the
     result distinct without a shuffle of the expanded rows."""
-    rp = sized_broadcast(role_permission_names(roles, grants, perms), MAX_CATALOGUE_ROWS)
+    rp = role_permission_names(roles, grants, perms)
     active = users.where(F.col("status") == "ACTIVE").select(F.col("id").alias("user_id"))
     return active.join(user_roles, "user_id").join(rp, "role_id").select("user_id", "role", "permission")
 
 
 def directory(users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """All users with their role name, '' when they hold none."""
-    r = sized_broadcast(roles.select(F.col("id").alias("role_id"), F.col("name").alias("role")), MAX_CATALOGUE_ROWS)
+    r = roles.select(F.col("id").alias("role_id"), F.col("name").alias("role"))
     j = users.join(user_roles, users["id"] == user_roles["user_id"], "left").join(r, "role_id", "left")
     return j.select("id", "email", "display_name", "status", F.coalesce(F.col("role"), F.lit("")).alias("role"))
 
@@ -73,28 +71,40 @@ def grant_matrix(users: DataFrame, user_roles: DataFrame, roles: DataFrame, gran
         "role", "permission", F.coalesce(F.col("holders"), F.lit(0).cast("long")).alias("holders"))
 
 
-def audit_latest(audit: DataFrame, n: int = AUDIT_PAGE) -> DataFrame:
-    """Newest `n` audit rows by id with the JSON metadata decoded."""
+def audit_latest(audit: DataFrame, fields: dict[str, str], n: int = AUDIT_PAGE) -> DataFrame:
+    """Newest `n` audit rows by id with the asked-for fields (name -> type) of
+    their JSON metadata; a field that is missing or of another type, or text
+    that isn't JSON, gives null."""
     top = audit.orderBy(F.col("id").desc()).limit(n)
-    meta = F.from_json(F.col("metadata"), "priority string, total double")
+    meta = F.try_parse_json("metadata")
+    field = lambda name, kind: F.try_variant_get(meta, f"$.{name}", kind).alias(name)
     return top.select("id", "actor_user_id", "action", "target_type", "target_id",
-                      meta["priority"].alias("priority"), meta["total"].alias("total"),
+                      *[field(name, kind) for name, kind in fields.items()],
                       ntz_text(F.col("created_at")).alias("created_at"))
 
 
 def change_check(proposals: DataFrame, users: DataFrame, user_roles: DataFrame, roles: DataFrame) -> DataFrame:
-    """Check proposed (target, actor, role, status) changes: refuse self
-    edits, and refuse demoting or disabling the last active top admin."""
-    d = directory(users, user_roles, roles).select(F.col("id").alias("target_id"),
-                                                   F.col("status").alias("cur_status"), F.col("role").alias("cur_role"))
-    active_tops = d.where((F.col("cur_role") == TOP_ROLE) & (F.col("cur_status") == "ACTIVE")) \
-        .agg(F.count(F.lit(1))).scalar()
+    """Check a batch of proposed (target, actor, role, status) changes, taken
+    in the order of proposal_id: refuse self edits, and refuse removing
+    (demoting or disabling) the last active top admin.
+
+    Each accepted removal leaves one admin fewer, so when the batch removes
+    every one of them, the admin whose first removal comes last is the one
+    who must stay, and all removals of that admin are refused.  That takes
+    one aggregate per target and no running state.  Promotions in the same
+    batch don't count (they may themselves be refused)."""
+    d = directory(users, user_roles, roles).select(
+        F.col("id").alias("target_id"), ((F.col("role") == TOP_ROLE) & (F.col("status") == "ACTIVE")).alias("top"))
+    admins = d.where("top").agg(F.count(F.lit(1))).scalar()
     j = proposals.join(d, "target_id", "inner")
-    last = ((F.col("cur_role") == TOP_ROLE) & (F.col("cur_status") == "ACTIVE") & (active_tops <= 1)
-            & ((F.col("new_role") != TOP_ROLE) | (F.col("new_status") != "ACTIVE")))
     self_edit = F.col("target_id") == F.col("actor_id")
+    removal = F.col("top") & ~self_edit & ((F.col("new_role") != TOP_ROLE) | (F.col("new_status") != "ACTIVE"))
+    firsts = j.where(removal).groupBy("target_id").agg(F.min("proposal_id").alias("first"))
+    stays = firsts.agg(F.max_by("target_id", "first").alias("stays"), F.count(F.lit(1)).alias("removed")) \
+        .select(F.when(F.col("removed") >= admins, F.col("stays"))).scalar()
+    last = F.coalesce(removal & (F.col("target_id") == stays), F.lit(False))
     return j.select("proposal_id", "target_id", "actor_id", self_edit.alias("self_edit"),
-                    (~self_edit & last).alias("last_admin"), (~self_edit & ~last).alias("allowed"))
+                    last.alias("last_admin"), (~self_edit & ~last).alias("allowed"))
 
 
 def team_backfill(users: DataFrame, user_roles: DataFrame, roles: DataFrame, default_team_id: int) -> DataFrame:

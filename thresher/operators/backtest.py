@@ -7,7 +7,7 @@ The plan Catalyst gets is
       -> rule filter
       -> hash aggregate on (bucket, keys)  (partial + final, map-side combine)
       -> flag projection
-      -> TakeOrderedAndProject (newest windows first, row cap)
+      -> TakeOrderedAndProject (newest windows, only when a limit is asked for)
 
 so one hot key is combined inside each map task and only one partial row
 per task and window crosses the network.
@@ -28,7 +28,7 @@ from thresher.functions.predicates import (
 from thresher.functions.threshold import compile_threshold
 from thresher.functions.timeutil import bucket_start, resolve_range, to_local_text
 from thresher.sources.events import STANDIN_SOURCE, EventSource, matched_events
-from thresher.spec import BACKTEST_ROW_CAP, GLOBAL_KEY, RuleSpec, column_for
+from thresher.spec import GLOBAL_KEY, RuleSpec, column_for
 
 log = logging.getLogger(__name__)
 
@@ -123,14 +123,14 @@ def windowed_aggregates(matched: DataFrame, compiled: CompiledRule, time_col: st
 
 def backtest(events: DataFrame, rule: dict | RuleSpec, start_ts: str | None = None,
              end_ts: str | None = None, now: dt.datetime | None = None,
-             source: EventSource = STANDIN_SOURCE, limit: int | None = BACKTEST_ROW_CAP,
+             source: EventSource = STANDIN_SOURCE, limit: int | None = None,
              strict: bool = False, code_list: DataFrame | None = None,
              code_field: str = "user_id", local_text: bool = True) -> DataFrame:
     """Run a rule over the event table for a local-time range.
 
     Output: window_start, groupKey, one column per aggregate alias (lower
-    case), threshold_met; newest windows first, at most `limit` rows (ties
-    broken by groupKey).  Windows are always tumbling here.
+    case), threshold_met; all rows, or with a `limit` the newest windows
+    (ties broken by groupKey).  Windows are always tumbling here.
     """
     start, end = resolve_range(start_ts, end_ts, now)
     matched = rule_matches(events, rule, start, end, source, strict, code_list, code_field)

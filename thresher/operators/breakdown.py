@@ -3,8 +3,7 @@
 Four summaries share one set of matched rows: a modality mix (sums of 0/1
 flags), an outcome count, a location hotspot and a score histogram.  Each is
 a single hash aggregate with map-side combine; the top-k ones end in
-TakeOrderedAndProject.  `breakdown_report` persists the matched rows once so
-the four summaries scan the lake once.
+TakeOrderedAndProject.
 """
 
 from __future__ import annotations
@@ -13,10 +12,10 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
+from pyspark.sql import types as T
 
+from thresher.functions.timeutil import number_text
 from thresher.operators.backtest import rule_matches
-from thresher.operators.joins import sized_broadcast
 from thresher.sources.events import STANDIN_SOURCE, EventSource
 
 TOP_K = 10
@@ -55,8 +54,7 @@ def location_top(matched: DataFrame, key_col: str, locations: DataFrame, loc_key
     loc = locations.select(F.col(loc_key).alias("__k"), F.col(loc_label).alias("__loc"))
     joined = per_entity.join(loc, "__k", "left")
     if places is not None:
-        names = sized_broadcast(places.select(F.col(place_key).alias("__loc"),
-                                              F.col(place_label).alias("__name")), max_broadcast_rows)
+        names = places.select(F.col(place_key).alias("__loc"), F.col(place_label).alias("__name"))
         joined = joined.join(names, "__loc", "left").withColumn("__loc", F.col("__name"))
     counts = joined.groupBy(F.coalesce(F.col("__loc").cast("string"), F.lit(UNKNOWN)).alias("label")) \
         .agg(F.sum("__n").alias("count"))
@@ -68,25 +66,10 @@ def score_histogram(matched: DataFrame, score_col: str, width: float = 10.0) ->
     labels are double text ('50.0-60.0')."""
     b = (F.floor(F.col(score_col) / width).cast("double") * F.lit(width)).alias("bucket_start")
     counts = matched.where(F.col(score_col).isNotNull()).groupBy(b).agg(F.count(F.lit(1)).alias("count"))
-    label = F.concat(F.col("bucket_start").cast("string"), F.lit("-"),
-                     (F.col("bucket_start") + F.lit(width)).cast("string"))
+    label = F.concat_ws("-", *(number_text(c, T.DoubleType()) for c in (F.col("bucket_start"), F.col("bucket_start") + F.lit(width))))
     return counts.select(label.alias("label"), "count", "bucket_start").orderBy("bucket_start")
 
 
 # Fixed values (stand-in): modality labels and their flag columns.
 STANDIN_FLAGS = [("Signup", "flag_signup"), ("Purchase", "flag_purchase"), ("Error", "flag_error"),
                  ("View", "flag_view"), ("Click", "flag_click")]
-
-
-def breakdown_report(events: DataFrame, rule: dict, start: dt.datetime, end: dt.datetime,
-                     customers: DataFrame, nations: DataFrame,
-                     source: EventSource = STANDIN_SOURCE) -> dict[str, DataFrame]:
-    """The four breakdowns over one persisted copy of the matched rows."""
-    matched = rule_matches(events, rule, start, end, source).persist(StorageLevel.MEMORY_AND_DISK)
-    return {
-        "modality_mix": modality_mix(matched, STANDIN_FLAGS),
-        "auth_outcome": category_top(matched, F.col("event_type")),
-        "geo_hotspot": location_top(matched, "user_id", customers, "c_custkey", "c_nationkey",
-                                    places=nations, place_key="n_nationkey", place_label="n_name"),
-        "match_score_histogram": score_histogram(matched, "value"),
-    }

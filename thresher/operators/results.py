@@ -3,8 +3,8 @@
 The results table keeps every version of a (rule, group, window) row; the
 latest version wins (a final row over a partial one, then the newer one).
 `latest_versions` is one hash aggregate with `max_by`, so a key with a
-billion versions is combined map-side.  Every listing ends newest-window
-first with a row cap (TakeOrderedAndProject); the ranked-groups report
+billion versions is combined map-side.  A listing is complete unless a limit
+is asked for (then the newest windows, by TakeOrderedAndProject); the ranked-groups report
 aggregates per group first, so its cap applies to ranked groups, not rows.
 """
 
@@ -22,8 +22,6 @@ from thresher.spec import clamp
 
 KEY = ["ruleId", "groupKey", "windowStart"]
 LIVE_DEFAULT, LIVE_MAX = 100, 1000
-MULTI_CAP = 5000
-DETAIL_CAP = 2000
 TOP_DEFAULT, TOP_MAX = 50, 200
 
 
@@ -64,8 +62,11 @@ def normalised_rule_id(col: Column) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")), F.lit("unknown"))
 
 
-def _newest(df: DataFrame, cap: int) -> DataFrame:
-    return df.orderBy(F.col("windowStart").desc(), F.col("ruleId").asc(), F.col("groupKey").asc()).limit(cap)
+def _newest(df: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or with a limit the newest windows."""
+    if limit is None:
+        return df
+    return df.orderBy(F.col("windowStart").desc(), F.col("ruleId").asc(), F.col("groupKey").asc()).limit(limit)
 
 
 def live_results(results: DataFrame, rule_id: str, limit: int | None = None) -> DataFrame:
@@ -75,33 +76,36 @@ def live_results(results: DataFrame, rule_id: str, limit: int | None = None) ->
     return _newest(latest_versions(results.where(F.col("ruleId") == rule_id)), n)
 
 
-def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: int, now: dt.datetime) -> DataFrame:
+def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: int, now: dt.datetime,
+                       limit: int | None = None) -> DataFrame:
     """Latest versions whose window started in the last `hours` before `now`
-    (naive UTC), for some rules or (empty list) all rules; newest 5000 rows
-    across rules, rule id normalised."""
+    (naive UTC), for some rules or (empty list) all rules, rule id normalised;
+    with a `limit`, the newest windows across rules."""
     since = now - dt.timedelta(hours=hours)
     df = results if not rule_ids else results.where(F.col("ruleId").isin(rule_ids))
     df = latest_versions(df.where(window_start_between(since, None)))
-    return _newest(df, MULTI_CAP).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
+    return _newest(df, limit).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 
-def results_in_range(results: DataFrame, rule_ids: list[str], start_text: str, end_text: str) -> DataFrame:
+def results_in_range(results: DataFrame, rule_ids: list[str], start_text: str, end_text: str,
+                     limit: int | None = None) -> DataFrame:
     """Latest versions of the given rules whose window start lies in the
-    closed range (lenient local text); newest 5000 across rules."""
+    closed range (lenient text); with a `limit`, the newest across rules."""
     lo, hi, ok = _bounds(start_text, end_text)
     if not rule_ids or not ok:
         return results.limit(0)
     df = results.where(F.col("ruleId").isin(rule_ids) & window_start_between(lo, hi))
-    return _newest(latest_versions(df), MULTI_CAP).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
+    return _newest(latest_versions(df), limit).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 
-def group_detail(results: DataFrame, rule_id: str, group_key: str, start_text: str, end_text: str) -> DataFrame:
-    """One group's window history in range, newest first, at most 2000."""
+def group_detail(results: DataFrame, rule_id: str, group_key: str, start_text: str, end_text: str,
+                 limit: int | None = None) -> DataFrame:
+    """One group's window history in range; with a `limit`, the newest."""
     lo, hi, ok = _bounds(start_text, end_text)
     if not ok:
         return results.limit(0)
     df = results.where((F.col("ruleId") == rule_id) & (F.col("groupKey") == group_key) & window_start_between(lo, hi))
-    return _newest(latest_versions(df), DETAIL_CAP)
+    return _newest(latest_versions(df), limit)
 
 
 def top_groups(results: DataFrame, rule_id: str, start_text: str, end_text: str,

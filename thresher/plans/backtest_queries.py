@@ -28,8 +28,7 @@ SELECT {local_sql('ws')} AS window_start, groupKey, cnt, round(total, 4) AS tota
 FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(user_id AS VARCHAR), 'N/A') AS groupKey,
              COUNT(event_id) AS cnt, SUM(value) AS total
       FROM {MATCHED_SQL} m WHERE event_type IN ('purchase', 'click') AND value > 5
-      GROUP BY ws, user_id) g
-ORDER BY ws DESC, groupKey LIMIT 5000""")(flagship)
+      GROUP BY ws, user_id) g""")(flagship)
 
 
 WEEKLY_RULE = rule(
@@ -46,8 +45,7 @@ SELECT {local_sql('ws')} AS window_start, '__GLOBAL__' AS groupKey, n, users, ro
        round(mx, 4) AS mx, COALESCE(n > 1000 OR avg_value >= 50, false) AS threshold_met
 FROM (SELECT time_bucket(INTERVAL '604800 seconds', ts) AS ws, COUNT(event_id) AS n,
              COUNT(DISTINCT user_id) AS users, AVG(value) AS avg_value, MAX(value) AS mx
-      FROM {MATCHED_SQL} m WHERE event_type != 'view' GROUP BY ws) g
-ORDER BY ws DESC LIMIT 5000""")
+      FROM {MATCHED_SQL} m WHERE event_type != 'view' GROUP BY ws) g""")
 def global_weekly(spark, sf_dir):
     return _bt(spark, sf_dir, WEEKLY_RULE)
 
@@ -71,7 +69,7 @@ g AS (SELECT time_bucket(INTERVAL '3600 seconds', ts) AS ws,
       FROM m GROUP BY ws, event_type, k)
 SELECT {local_sql('ws')} AS window_start, groupKey, round(mn, 4) AS mn, round(mx, 4) AS mx, users,
        COALESCE(mx - mn > 100, false) AS threshold_met
-FROM g ORDER BY ws DESC, groupKey LIMIT 5000""")
+FROM g""")
 def multi_key_nulls(spark, sf_dir):
     ev = events(spark, sf_dir).withColumn("event_type", F.nullif(F.col("event_type"), F.lit("error")))
     return _bt(spark, sf_dir, MULTI_KEY_RULE, ev)
@@ -89,8 +87,7 @@ SELECT {local_sql('ws')} AS window_start, groupKey, cnt, round(total, 4) AS tota
        COALESCE((total / NULLIF(cnt - 66, 0) > 300) OR (NOT (low < 0.5) AND cnt != 60), false) AS threshold_met
 FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(event_type AS VARCHAR), 'N/A') AS groupKey,
              COUNT(event_id) AS cnt, SUM(value) AS total, MIN(value) AS low
-      FROM {MATCHED_SQL} m GROUP BY ws, event_type) g
-ORDER BY ws DESC, groupKey LIMIT 5000""")
+      FROM {MATCHED_SQL} m GROUP BY ws, event_type) g""")
 def threshold_logic(spark, sf_dir):
     return _bt(spark, sf_dir, LOGIC_RULE)
 
@@ -107,8 +104,7 @@ SELECT {local_sql('ws')} AS window_start, groupKey, cnt, round(total, 4) AS tota
        COALESCE(CASE WHEN cnt > 65 THEN total / NULLIF(cnt, 0) > 60 ELSE total > 3000 END, false) AS threshold_met
 FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(event_type AS VARCHAR), 'N/A') AS groupKey,
              COUNT(event_id) AS cnt, SUM(value) AS total
-      FROM {MATCHED_SQL} m GROUP BY ws, event_type) g
-ORDER BY ws DESC, groupKey LIMIT 5000""")
+      FROM {MATCHED_SQL} m GROUP BY ws, event_type) g""")
 def threshold_case(spark, sf_dir):
     return _bt(spark, sf_dir, CASE_RULE)
 
@@ -124,8 +120,7 @@ REJECTED_RULE = rule(
 SELECT {local_sql('ws')} AS window_start, groupKey, round(total, 4) AS total, cnt, false AS threshold_met
 FROM (SELECT time_bucket(INTERVAL '604800 seconds', ts) AS ws, COALESCE(CAST(user_id AS VARCHAR), 'N/A') AS groupKey,
              SUM(value) AS total, COUNT(event_id) AS cnt
-      FROM {MATCHED_SQL} m GROUP BY ws, user_id) g
-ORDER BY ws DESC, groupKey LIMIT 5000""")
+      FROM {MATCHED_SQL} m GROUP BY ws, user_id) g""")
 def threshold_rejected(spark, sf_dir):
     return _bt(spark, sf_dir, REJECTED_RULE)
 
@@ -167,8 +162,7 @@ FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(user
       FROM {DEDUP_SQL} d
       WHERE ts BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'
         AND event_type IN ('purchase', 'click') AND value > 5
-      GROUP BY ws, user_id) g
-ORDER BY ws DESC, groupKey LIMIT 5000""")
+      GROUP BY ws, user_id) g""")
 def backtest_days_back(spark, sf_dir):
     """The last N days (1..90, default 7; 500 is out of range -> 7) before
     `now`, as the historical-test endpoint computes it."""
@@ -185,8 +179,7 @@ WITH ev AS (SELECT *, FLOOR(value) * 100000.0 AS amount FROM {MATCHED_SQL} m)
 SELECT {local_sql('ws')} AS window_start, groupKey, cnt, COALESCE(cnt >= 2, false) AS threshold_met
 FROM (SELECT time_bucket(INTERVAL '86400 seconds', ts) AS ws, COALESCE(CAST(amount AS VARCHAR), 'N/A') AS groupKey,
              COUNT(event_id) AS cnt
-      FROM ev WHERE contains(CAST(amount AS VARCHAR), '00000.0') GROUP BY ws, amount) g
-ORDER BY ws DESC, groupKey LIMIT 5000""")
+      FROM ev WHERE contains(CAST(amount AS VARCHAR), '00000.0') GROUP BY ws, amount) g""")
 def backtest_double_keys(spark, sf_dir):
     """Group keys and text filters over doubles of 1e7 and more print as
     plain decimals ('15000000.0')."""

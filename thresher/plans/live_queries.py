@@ -88,8 +88,7 @@ per_key AS (
   SELECT *, MIN(seq) OVER k AS first_seq FROM f
   WINDOW k AS (PARTITION BY flush, ruleId, groupKey, windowStart)
   QUALIFY row_number() OVER (PARTITION BY flush, ruleId, groupKey, windowStart ORDER BY isFinal DESC, seq DESC) = 1)
-SELECT flush, ruleId, groupKey, windowStart, cnt, isFinal, first_seq FROM per_key
-QUALIFY row_number() OVER (PARTITION BY flush, ruleId ORDER BY first_seq DESC) <= 5000""")
+SELECT flush, ruleId, groupKey, windowStart, cnt, isFinal, first_seq FROM per_key""")
 def live_delta_batch(spark, sf_dir):
     m = messages(spark, sf_dir).withColumn("flush", F.floor(F.col("seq") / FLUSH_SEQ).cast("long"))
     return delta_batches(m, "flush").select("flush", "ruleId", "groupKey", "windowStart", "cnt", "isFinal",
@@ -99,16 +98,17 @@ def live_delta_batch(spark, sf_dir):
 @register("live_recent_anomalies", covers="W4 U1 ST10 ST16 D7 C17", sql=f"""
 WITH {MESSAGES_CTE},
 a AS (SELECT * FROM messages WHERE thresholdBreached AND isFinal),
-buf AS (SELECT * FROM a ORDER BY seq DESC LIMIT 10000)
-SELECT ruleId AS request_rule, ruleId, groupKey, windowStart, cnt, seq FROM buf
-WHERE ruleId IN ('R_USER_DAY', 'R_TYPE_HOUR')
-QUALIFY row_number() OVER (PARTITION BY ruleId ORDER BY seq DESC) <= 100""")
+buf AS (SELECT * FROM a WHERE ruleId IN ('R_USER_DAY', 'R_TYPE_HOUR')
+        QUALIFY row_number() OVER (PARTITION BY ruleId ORDER BY seq DESC) <= 100)
+SELECT ruleId AS request_rule, CASE ruleId WHEN 'R_USER_DAY' THEN 1 ELSE 2 END AS request_place,
+       CAST(row_number() OVER (PARTITION BY ruleId ORDER BY seq) AS INTEGER) AS position,
+       ruleId, groupKey, windowStart, cnt, seq FROM buf""")
 def live_recent_anomalies(spark, sf_dir):
     from thresher.spec import split_id_list
 
     anoms = anomaly_events(messages(spark, sf_dir))
     out = recent_anomalies(anoms, split_id_list(" R_USER_DAY, R_TYPE_HOUR ,, "), 100)
-    return out.select("request_rule", "ruleId", "groupKey", "windowStart", "cnt", "seq")
+    return out.select("request_rule", "request_place", "position", "ruleId", "groupKey", "windowStart", "cnt", "seq")
 
 
 @register("normalise_results", covers="ST1 C16 C7 S9 C15", sql=f"""

@@ -25,8 +25,7 @@ def results_live_latest(spark, sf_dir):
 WITH {MESSAGES_CTE}
 SELECT {_SEL} FROM latest
 WHERE ruleId IN ('R_USER_DAY', 'R_TYPE_HOUR')
-  AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE >= TIMESTAMP '2024-01-28 00:00:00'
-ORDER BY windowStart DESC, ruleId, groupKey LIMIT 5000""")
+  AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE >= TIMESTAMP '2024-01-28 00:00:00'""")
 def results_multi_last_hours(spark, sf_dir):
     df = results_last_hours(messages(spark, sf_dir), ["R_USER_DAY", "R_TYPE_HOUR"], 72, NOW_UTC)
     return df.select(*COLS)
@@ -37,8 +36,7 @@ WITH {MESSAGES_CTE}
 SELECT {_SEL} FROM latest
 WHERE ruleId IN ('R_TYPE_HOUR', 'R_NONE')
   AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') >= TIMESTAMP '2024-01-10 00:00:00'
-  AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') <= TIMESTAMP '2024-01-20 12:00:00'
-ORDER BY windowStart DESC, ruleId, groupKey LIMIT 5000""")
+  AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') <= TIMESTAMP '2024-01-20 12:00:00'""")
 def results_range(spark, sf_dir):
     df = results_in_range(messages(spark, sf_dir), ["R_TYPE_HOUR", "R_NONE"], "2024-01-10", "2024-01-20T12:00")
     return df.select(*COLS)
@@ -73,8 +71,7 @@ def results_top_groups_page2(spark, sf_dir):
 WITH {MESSAGES_CTE}
 SELECT {_SEL} FROM latest WHERE ruleId = 'R_USER_DAY' AND groupKey = '42'
   AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') >= TIMESTAMP '{TOP_START}'
-  AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') <= TIMESTAMP '{TOP_END}'
-ORDER BY windowStart DESC LIMIT 2000""")
+  AND strptime(windowStart, '%Y-%m-%d %H:%M:%S') <= TIMESTAMP '{TOP_END}'""")
 def results_group_detail(spark, sf_dir):
     return group_detail(messages(spark, sf_dir), "R_USER_DAY", "42", TOP_START, TOP_END).select(*COLS)
 
@@ -82,11 +79,10 @@ def results_group_detail(spark, sf_dir):
 @register("results_bootstrap", covers="S7 U2 ST6", sql=f"""
 WITH {MESSAGES_CTE},
 boot AS (SELECT * FROM latest
-         WHERE strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE >= TIMESTAMP '2024-01-28 00:00:00'
-         ORDER BY windowStart DESC, ruleId, groupKey LIMIT 5000)
+         WHERE strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE >= TIMESTAMP '2024-01-28 00:00:00')
 SELECT ruleId, groupKey, windowStart, cnt, isFinal, seq, seq AS first_seq FROM boot""")
 def results_bootstrap(spark, sf_dir):
-    """Start-up state: every rule's rows of the last 72 hours (newest 5000),
+    """Start-up state: every rule's rows of the last 72 hours,
     upserted into an empty view."""
     boot = results_last_hours(messages(spark, sf_dir), [], 72, NOW_UTC)
     return upsert(boot).select("ruleId", "groupKey", "windowStart", "cnt", "isFinal", "seq", "first_seq")

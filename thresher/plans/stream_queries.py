@@ -29,7 +29,7 @@ TUMBLING_RULE = rule(
     "R_STREAM", ["user_id"], 86400000, [("cnt", "event_id", "COUNT"), ("total", "value", "SUM")],
     "cnt >= 2 && total > 20",
     group("AND", cond("event_type", "IN", "purchase, click"), cond("value", "GREATER_THAN", 5)),
-    sinks={"agg_sink_enabled": True, "anomaly_sink_enabled": True, "anomaly_store_sink_enabled": False},
+    sinks={"agg_sink_enabled": True, "anomaly_sink_enabled": True, "anomaly_store_sink_enabled": True},
 )
 TUMBLING_RULE["windowing"]["allowed_lateness_ms"] = 3600000
 
@@ -103,14 +103,14 @@ def stream_partial_then_final(spark, sf_dir):
 
     def keep(path):
         def write(batch, epoch):
-            batch.write.mode("append").parquet(path)
+            batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         return write
 
     run_available(evaluate_stream(_stream(spark, sf_dir), HOURLY_RULE), "update",
                   scratch_path(spark, "partial-ckpt"), keep(partial_out))
     run_available(evaluate_stream(_stream(spark, sf_dir), HOURLY_RULE), "append",
                   scratch_path(spark, "final-ckpt"), final_out)
-    partial = spark.read.parquet(partial_out).withColumn("isFinal", F.lit(False))
+    partial = spark.read.parquet(partial_out).drop("epoch").withColumn("isFinal", F.lit(False))
     final = spark.read.parquet(final_out).withColumn("isFinal", F.lit(True))
     return rounded(partial.unionByName(final))
 
@@ -118,16 +118,17 @@ def stream_partial_then_final(spark, sf_dir):
 @register("stream_sink_routing", covers="S11 ST16", sql=f"""{_TUMBLING_SQL}
 SELECT 'agg' AS sink, ruleId, groupKey, windowStart, cnt, thresholdBreached FROM f
 UNION ALL
-SELECT 'anomaly', ruleId, groupKey, windowStart, cnt, thresholdBreached FROM f WHERE thresholdBreached""")
+SELECT 'anomaly', ruleId, groupKey, windowStart, cnt, thresholdBreached FROM f WHERE thresholdBreached
+UNION ALL
+SELECT 'store', ruleId, groupKey, windowStart, cnt, thresholdBreached FROM f WHERE thresholdBreached""")
 def stream_sink_routing(spark, sf_dir):
     spec = RuleSpec.from_dict(TUMBLING_RULE)
-    agg_path, anomaly_path = scratch_path(spark, "agg-sink"), scratch_path(spark, "anomaly-sink")
+    paths = {sink: scratch_path(spark, f"{sink}-sink") for sink in ("agg", "anomaly", "store")}
     run_available(evaluate_stream(_stream(spark, sf_dir), spec), "append", scratch_path(spark, "route-ckpt"),
-                  lambda b, e: route_to_sinks(b, spec, agg_path, anomaly_path))
+                  lambda b, e: route_to_sinks(b, e, spec, *paths.values()))
     cols = ["ruleId", "groupKey", "windowStart", "cnt", "thresholdBreached"]
-    agg = spark.read.parquet(agg_path).select(F.lit("agg").alias("sink"), *cols)
-    anomalies = spark.read.parquet(anomaly_path).select(F.lit("anomaly").alias("sink"), *cols)
-    return agg.unionByName(anomalies)
+    sinks = [spark.read.parquet(path).select(F.lit(sink).alias("sink"), *cols) for sink, path in paths.items()]
+    return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
 
 
 @register("stream_live_state", covers="ST1 ST3 ST4 ST6 ST9 U2 S6", sql=f"""

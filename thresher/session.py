@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not configured:
-        configured = tempfile.mkdtemp(prefix="thresher-ckpt-")
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="thresher-ckpt-")  # local sessions only
         spark.conf.set("spark.checkpoint.dir", configured)
     try:
         spark.sparkContext.setCheckpointDir(configured)
@@ -56,14 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster, since the checkpoint folder is the cluster's shared one)."""
-    base = ensure_checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") and not base.startswith("file://") else base
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def finished_epochs(spark: SparkSession, path: str) -> list[int]:
+    """The epochs whose folder `epoch=N` under `path` is complete."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -74,14 +81,17 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _fingerprint(spark: SparkSession, path: str) -> str:
-    """path + length + modification time of a file or folder (Hadoop API)."""
+    """Every file under a path with its length and modification time (Hadoop API)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return path
-    st = fs.getFileStatus(p)
-    return f"{path}:{st.getLen()}:{st.getModificationTime()}"
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return f"{path}:{sorted(found)}"
 
 
 _CODE_DIGEST: str | None = None
@@ -129,8 +139,16 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build,
             w = w.repartitionByRange(*(partition_by + (sort_within or [])))
         if sort_within:
             w = w.sortWithinPartitions(*((partition_by or []) + sort_within))
-        writer = w.write.mode("overwrite")
+        # written aside and renamed: two drivers that build the same table
+        # don't touch each other's files, and the first to finish publishes
+        aside = f"{path}-{uuid.uuid4().hex}"
+        writer = w.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        writer.parquet(aside)
+        jvm = spark.sparkContext._jvm
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(to) or not fs.rename(jvm.org.apache.hadoop.fs.Path(aside), to):
+            return spark.read.parquet(aside)
     return spark.read.parquet(path)

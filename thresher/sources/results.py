@@ -67,7 +67,7 @@ def result_messages(events: DataFrame, rules: list[LiveRule], start: dt.datetime
         size = compiled.bucket_seconds
         ws = bucket_start(F.col(source.time_col), size)
         tag = F.struct(F.lit(compiled.spec.rule_id).alias("ruleId"), F.lit(i).alias("ridx"),
-                       group_key_text(compiled.key_cols).alias("groupKey"), ws.alias("ws"),
+                       group_key_text(compiled.key_cols, matched.schema).alias("groupKey"), ws.alias("ws"),
                        (ws + F.make_dt_interval(secs=F.lit(size))).alias("we"),
                        F.col(r.count_field).isNotNull().cast("long").alias("one"),
                        F.col(r.sum_field).cast("double").alias("val"))

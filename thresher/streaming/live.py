@@ -21,7 +21,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.operators.livestate import DEFAULT_RULE_CAP, KEY, cap_per_rule, prune_leading
+from thresher.operators.livestate import KEY, cap_per_rule, prune_leading
 from thresher.sources.results import normalise_results
 
 STATE_COLS = ["ruleId", "groupKey", "windowStart", "cnt", "total", "thresholdBreached", "isFinal", "seq"]
@@ -62,7 +62,7 @@ def message_stream(spark: SparkSession, directory: str, max_files_per_trigger: i
 class ViewMerger:
     """foreachBatch target: merge the changed keys into the view snapshot."""
 
-    def __init__(self, base_path: str, cap: int = DEFAULT_RULE_CAP, cutoff: dt.datetime | None = None,
+    def __init__(self, base_path: str, cap: int | None = None, cutoff: dt.datetime | None = None,
                  initial: DataFrame | None = None):
         """`initial`: a start-up state (e.g. the results table's recent rows,
         upserted) that replaces the view before the first micro-batch."""
@@ -91,26 +91,34 @@ class ViewMerger:
         self.last_epoch = epoch
 
     def _previous(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        if epoch == 0:
-            return None if self.initial is None else self.initial.select(*STATE_COLS, "first_seq")
-        try:
-            return spark.read.parquet(self.snapshot_path(epoch - 1))
-        except Exception:  # noqa: BLE001 - no snapshot yet (empty first batches)
-            return None if self.last_epoch is None else spark.read.parquet(self.snapshot_path(self.last_epoch))
+        """The newest finished snapshot before `epoch` (a restarted job finds
+        what an earlier run wrote), else the start-up state.  Errors of
+        reading one are raised."""
+        from thresher.session import finished_epochs
+
+        done = [e for e in finished_epochs(spark, self.base_path) if e < epoch]
+        if done:
+            return spark.read.parquet(self.snapshot_path(max(done)))
+        return None if self.initial is None else self.initial.select(*STATE_COLS, "first_seq")
 
 
 def kafka_message_stream(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
                          max_offsets_per_trigger: int | None = None) -> DataFrame:
     """Result (or anomaly) messages from a Kafka topic: the record value as
-    JSON text and the partition offset as arrival order, ready for
+    JSON text and an arrival order over all partitions (`seq`: the record
+    time in milliseconds, then partition and offset, in one number; offsets
+    of different partitions alone can't be compared), ready for
     `normalise_results` / `normalise_anomalies`.  `maxOffsetsPerTrigger`
     bounds a micro-batch (back-pressure).  Needs the Kafka connector jar."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
          .option("subscribe", topic).option("startingOffsets", starting))
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
-    return r.load().select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"),
-                           F.col("partition"), F.col("timestamp").alias("kafka_ts"))
+    # 41 bits of milliseconds hold times until 2039; records of one millisecond
+    # and partition follow their offset's last 12 bits, partitions their last 10
+    seq = (F.shiftleft(F.unix_millis("timestamp"), 22) + F.shiftleft((F.col("partition") % 1024).cast("long"), 12) + F.col("offset") % 4096)
+    return r.load().select(F.col("value").cast("string").alias("value"), seq.alias("seq"),
+                           F.col("partition"), F.col("offset"), F.col("timestamp").alias("kafka_ts"))
 
 
 def publish_to_kafka(records: DataFrame, servers: str, topic: str) -> None:
@@ -126,12 +134,12 @@ class DeltaPublisher:
 
     Within the batch, updates of one (rule, group, window) coalesce to one
     row (a final row is never replaced by a partial one), first-arrival
-    order is kept in `first_seq`, and a rule keeps at most `max_rows` rows
-    per flush (the oldest first arrivals are dropped).  Optionally the
+    order is kept in `first_seq`, and with `max_rows` a rule keeps at most
+    so many rows per flush (the oldest first arrivals are dropped).  Optionally the
     batch's consumption-delay histogram is written too.  Output is keyed
     by epoch, so a replayed epoch overwrites its own files."""
 
-    def __init__(self, path: str, max_rows: int = 5000, metrics_path: str | None = None,
+    def __init__(self, path: str, max_rows: int | None = None, metrics_path: str | None = None,
                  consumed_col: str | None = None):
         self.path = path.rstrip("/")
         self.max_rows = max_rows
