@@ -32,6 +32,7 @@ from thresher.llm.shared import plus
 DIM = 1 << 14
 GRAMS = 4
 SAMPLE = 4000
+LEAST = 0.3  # a calibrated score under this is hardly more than a guess between languages
 PIECE = 1 << 19  # characters handled at once
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
@@ -240,7 +241,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(lean, model).drop("text")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows whose language is known with a score of at least `least`;
     columns as they were."""
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
