@@ -67,3 +67,15 @@ def test_double_text(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r[0] for r in df.select(number_text(F.col("x"), df.schema["x"].dataType)).collect()]
     assert got == [repr(v) for v in values]
+
+
+def test_any_aggregate_shape_is_kept(spark):
+    from thresher.sources.results import aggregate
+
+    raw = ['{"ruleId": "a", "aggResult": {"hits": 3, "deep": {"x": 1}}, "windowStart": 1704067200000, "windowEnd": 1704067260000}',
+           '{"ruleId": "a", "aggResult": "{\\"hits\\": 4}", "windowStart": 1704067260000}', '{"ruleId": "a", "aggResult": "broken {", "windowStart": "x"}', '{"ruleId": "a"}']
+    df = normalise_results(spark.createDataFrame([(t, i) for i, t in enumerate(raw)], "value string, seq long"))
+    rows = {r.seq: r for r in df.withColumn("hits", aggregate(F.col("aggResult"), "hits", "bigint")).collect()}
+    assert [rows[i].hits for i in range(4)] == [3, 4, None, None]
+    assert rows[2].aggResult == "broken {" and rows[3].aggResult is None and '"deep"' in rows[0].aggResult
+    assert [rows[i].windowStart for i in range(4)] == ["1704067200000", "1704067260000", "x", None] and rows[0].windowEnd == "1704067260000"

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from thresher.functions.timeutil import ntz_text, parse_window_start_col
 from thresher.operators.livestate import (
     apply_batch, cap_per_rule, delta_batches, prune_leading, recent_anomalies, snapshot, stats, upsert,
 )
@@ -13,7 +14,7 @@ from thresher.operators.metrics import DEFAULT_BUCKETS, delay_histogram
 from thresher.plans.common import MESSAGES_CTE, messages
 from thresher.plans.registry import register, rounded
 from thresher.sources.results import (
-    anomaly_events, normalise_anomalies, normalise_results, raw_anomaly_json, raw_result_json,
+    aggregate, anomaly_events, normalise_anomalies, normalise_results, raw_anomaly_json, raw_result_json,
 )
 
 STATE_COLS = ["ruleId", "groupKey", "windowStart", "cnt", "total", "thresholdBreached", "isFinal",
@@ -123,13 +124,45 @@ def normalise_results_plan(spark, sf_dir):
                                                  "seq"))
 
 
+_SHAPE = "(seq // 4) % 4"
+
+
+@register("normalise_any_shape", covers="ST1 S9 C6 C8 C15", sql=f"""
+WITH {MESSAGES_CTE},
+m AS (SELECT *, {_SHAPE} AS shape, strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE AS utc FROM messages)
+SELECT seq, ruleId, groupKey, CASE WHEN shape = 0 THEN CAST(epoch_ms(utc) AS VARCHAR) ELSE windowStart END AS windowStart,
+       strftime(utc, '%Y-%m-%d %H:%M:%S') AS started, CASE WHEN shape = 0 THEN cnt END AS hits, CASE WHEN shape = 0 THEN round(total, 4) END AS peak,
+       CASE WHEN shape = 1 THEN cnt END AS n, CASE WHEN shape = 2 THEN 'n/a' END AS unread
+FROM m""")
+def normalise_any_shape(spark, sf_dir):
+    """Messages of four shapes: aggregates of other names sent as an object
+    with a numeric window start, other names sent as text, text that isn't
+    JSON, and none at all."""
+    m = messages(spark, sf_dir)
+    shape = F.floor(F.col("seq") / 4) % 4
+    millis = F.unix_millis(F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), parse_window_start_col(F.col("windowStart")))))
+    head = [F.col("ruleId"), F.col("groupKey")]
+    text = F.col("windowStart")
+    raw = m.select("seq", F.when(shape == 0, F.to_json(F.struct(*head, millis.alias("windowStart"), F.struct(F.col("cnt").alias("hits"), F.col("total").alias("peak")).alias("aggResult"))))
+                   .when(shape == 1, F.to_json(F.struct(*head, text, F.to_json(F.struct(F.col("cnt").alias("n"))).alias("aggResult"))))
+                   .when(shape == 2, F.to_json(F.struct(*head, text, F.lit("n/a").alias("aggResult"))))
+                   .otherwise(F.to_json(F.struct(*head, text))).alias("value"))
+    rows = normalise_results(raw)
+    agg = F.col("aggResult")
+    return rounded(rows.select(
+        "seq", "ruleId", "groupKey", "windowStart", ntz_text(parse_window_start_col(F.col("windowStart"))).alias("started"),
+        aggregate(agg, "hits", "bigint").alias("hits"), aggregate(agg, "peak", "double").alias("peak"), aggregate(agg, "n", "bigint").alias("n"),
+        F.when(F.try_parse_json(agg).isNull(), agg).alias("unread")))
+
+
 @register("normalise_anomalies", covers="ST2 C16 D5", sql=f"""
 WITH {MESSAGES_CTE}
-SELECT ruleId, ruleId AS routeId, producedAt, 'anomaly' AS event_type, seq
+SELECT ruleId, ruleId AS routeId, groupKey, windowStart, cnt, producedAt, 'anomaly' AS event_type, seq
 FROM messages WHERE thresholdBreached AND isFinal""")
 def normalise_anomalies_plan(spark, sf_dir):
     raw = raw_anomaly_json(anomaly_events(messages(spark, sf_dir)))
-    return normalise_anomalies(raw).select("ruleId", "routeId", "producedAt", "event_type", "seq")
+    return normalise_anomalies(raw).select("ruleId", "routeId", "groupKey", "windowStart", aggregate(F.col("body"), "cnt", "bigint").alias("cnt"),
+                                           "producedAt", "event_type", "seq")
 
 
 _BUCKETS_SQL = ", ".join(f"({b}, '{b}')" for b in DEFAULT_BUCKETS)

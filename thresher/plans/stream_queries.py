@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from thresher.plans.common import MESSAGES_CTE, cond, events, group, local_sql, messages, rule
 from thresher.plans.registry import register, rounded
 from thresher.session import scratch_path
-from thresher.sources.results import raw_result_json
+from thresher.sources.results import aggregate, raw_result_json
 from thresher.spec import RuleSpec
 from thresher.operators.rulestore import lifecycle
 from thresher.sources.rule_tables import change_log
@@ -133,9 +133,9 @@ def stream_sink_routing(spark, sf_dir):
 
 @register("stream_live_state", covers="ST1 ST3 ST4 ST6 ST9 U2 S6", sql=f"""
 WITH {MESSAGES_CTE},
-n AS (SELECT ruleId, groupKey, windowStart, cnt, total, thresholdBreached,
+n AS (SELECT ruleId, groupKey, windowStart, windowEnd, cnt, total, thresholdBreached,
              CASE WHEN ruleId = 'R_TYPE_HOUR' THEN true ELSE isFinal END AS isFinal, seq FROM messages)
-SELECT ruleId, groupKey, windowStart, cnt, total, thresholdBreached, isFinal, seq,
+SELECT ruleId, groupKey, windowStart, windowEnd, cnt, total, thresholdBreached, isFinal, seq,
        MIN(seq) OVER (PARTITION BY ruleId, groupKey, windowStart) AS first_seq
 FROM n
 QUALIFY row_number() OVER (PARTITION BY ruleId, groupKey, windowStart ORDER BY isFinal DESC, seq DESC) = 1""")
@@ -155,7 +155,9 @@ def stream_live_state(spark, sf_dir):
     stream = message_stream(spark, inbox).select(*STATE_COLS)
     run_available(keyed_latest(stream), "update", scratch_path(spark, "view-ckpt"), merger)
     view = spark.read.parquet(merger.snapshot_path(merger.last_epoch))
-    return rounded(view.select(*STATE_COLS, "first_seq"))
+    # cnt and total once more from the aggregates that the view carries, under whatever names
+    again = {"cnt": aggregate(F.col("aggResult"), "cnt", "bigint"), "total": aggregate(F.col("aggResult"), "total", "double")}
+    return rounded(view.select(*STATE_COLS, "first_seq").withColumns(again).drop("aggResult"))
 
 
 FAMILY_RULE = rule("rule_family", ["__GLOBAL__"], 86400000,

@@ -199,11 +199,29 @@ def coerce_breached(v: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def _decode_aggregates(text: Column) -> tuple[Column, Column]:
-    """Aggregate JSON text -> (cnt, total); text that is not JSON stays
-    undecoded (null numbers)."""
-    agg = F.try_parse_json(text)
-    return (F.try_variant_get(agg, "$.cnt", "bigint"), F.try_variant_get(agg, "$.total", "double"))
+def _scalar_text(v: Column, key: str) -> Column:
+    """A field that is JSON text or a number, as text; else null."""
+    x = _field(v, key)
+    kind = F.schema_of_variant(x)
+    return F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).when(kind.rlike(_NUMERIC_TYPES), F.to_json(x))
+
+
+def _aggregates_text(v: Column) -> Column:
+    """A message's aggregates as text, whatever their names: the JSON of an
+    object (`aggResult`, else the legacy `aggregationResults`, sent as an object
+    or as text), or text that isn't JSON as it came."""
+    def of(key: str) -> Column:
+        x = _field(v, key)
+        kind = F.schema_of_variant(x)
+        return F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).when(kind.isNotNull() & (kind != "VOID"), F.to_json(x))
+
+    return F.coalesce(of("aggResult"), of("aggregationResults"))
+
+
+def aggregate(agg_text: Column, name: str, kind: str) -> Column:
+    """One aggregate of a row's `aggResult` text, by its alias; null when it is
+    absent, of another type, or the text isn't JSON."""
+    return F.try_variant_get(F.try_parse_json(agg_text), f"$.{name}", kind)
 
 
 def _route(rule_id: Column, v: Column) -> Column:
@@ -216,10 +234,11 @@ def normalise_results(raw: DataFrame, value_col: str = "value") -> DataFrame:
     Messages are parsed once into a VARIANT.  `ruleId` falls back to a
     non-empty text `id` only when the `ruleId` key is absent (presence, not
     non-null); `groupKey` falls back to a non-empty `entityValue` the same
-    way; flags are coerced by `coerce_breached` / `coerce_final`; aggregate
-    text (or the legacy `aggregationResults`) is decoded.  The routing id is
-    `ruleId`, else `id`, else 'unknown'.  Text that is not a JSON object is
-    dropped.
+    way; flags are coerced by `coerce_breached` / `coerce_final`.  `aggResult`
+    keeps all aggregates (see `aggregate`; cnt and total are read from it
+    here).  A numeric window start or end (epoch milliseconds) is kept as its
+    digits, so each window has its own key.  The routing id is `ruleId`, else
+    `id`, else 'unknown'.  Text that is not a JSON object is dropped.
     """
     rest = [c for c in raw.columns if c != value_col]
     parsed = raw.select(*rest, F.try_parse_json(F.col(value_col)).alias("__v"))
@@ -229,13 +248,13 @@ def normalise_results(raw: DataFrame, value_col: str = "value") -> DataFrame:
         .otherwise(F.nullif(_text(v, "id"), F.lit("")))
     group_key = F.when(_field(v, "groupKey").isNotNull(), _text(v, "groupKey")) \
         .otherwise(F.nullif(_text(v, "entityValue"), F.lit("")))
-    agg_text = F.coalesce(_text(v, "aggResult"), _text(v, "aggregationResults"))
-    cnt, total = _decode_aggregates(agg_text)
+    agg_text = _aggregates_text(v)
     return parsed.where(is_object).select(
         *rest,
         rule_id.alias("ruleId"), _route(rule_id, v).alias("routeId"), group_key.alias("groupKey"),
-        _text(v, "windowStart").alias("windowStart"), _text(v, "producedAt").alias("producedAt"),
-        cnt.alias("cnt"), total.alias("total"),
+        _scalar_text(v, "windowStart").alias("windowStart"), _scalar_text(v, "windowEnd").alias("windowEnd"),
+        _scalar_text(v, "producedAt").alias("producedAt"), agg_text.alias("aggResult"),
+        aggregate(agg_text, "cnt", "bigint").alias("cnt"), aggregate(agg_text, "total", "double").alias("total"),
         coerce_breached(v).alias("thresholdBreached"), coerce_final(v).alias("isFinal"),
         F.lit("agg").alias("event_type"),
     )
@@ -252,7 +271,8 @@ def raw_anomaly_json(anomalies: DataFrame) -> DataFrame:
 
 def normalise_anomalies(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Raw anomaly JSON -> event_type 'anomaly', `ruleId` from a non-empty
-    `id` when the `ruleId` key is absent, routing id with 'unknown' fallback."""
+    `id` when the `ruleId` key is absent, routing id with 'unknown' fallback;
+    `body` keeps the whole message as JSON text."""
     rest = [c for c in raw.columns if c != value_col]
     parsed = raw.select(*rest, F.try_parse_json(F.col(value_col)).alias("__v"))
     v = F.col("__v")
@@ -260,4 +280,5 @@ def normalise_anomalies(raw: DataFrame, value_col: str = "value") -> DataFrame:
         .otherwise(F.nullif(_text(v, "id"), F.lit("")))
     return parsed.where(F.schema_of_variant(v).startswith("OBJECT")).select(
         *rest, rule_id.alias("ruleId"), _route(rule_id, v).alias("routeId"),
-        _text(v, "producedAt").alias("producedAt"), F.lit("anomaly").alias("event_type"))
+        _scalar_text(v, "groupKey").alias("groupKey"), _scalar_text(v, "windowStart").alias("windowStart"),
+        _scalar_text(v, "producedAt").alias("producedAt"), F.lit("anomaly").alias("event_type"), F.to_json(v).alias("body"))

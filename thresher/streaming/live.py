@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from thresher.operators.livestate import KEY, cap_per_rule, prune_leading
 from thresher.sources.results import normalise_results
 
-STATE_COLS = ["ruleId", "groupKey", "windowStart", "cnt", "total", "thresholdBreached", "isFinal", "seq"]
+STATE_COLS = ["ruleId", "groupKey", "windowStart", "windowEnd", "aggResult", "cnt", "total", "thresholdBreached", "isFinal", "seq"]
 
 
 def keyed_latest(normalised: DataFrame, retention_hours: float | None = None) -> DataFrame:
