@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from thresher.functions.timeutil import days_back_range, local_text_of, ntz_text, resolve_range
 from thresher.operators.backtest import backtest
 from thresher.plans.common import (
-    DEDUP_SQL, FLAGSHIP_RULE, MATCHED_SQL, NOW_UTC, RANGE_END, RANGE_START, cond, events, group, local_sql, rule,
+    DEDUP_SQL, FLAGSHIP_RULE, MATCHED_SQL, NOW_UTC, cond, events, group, local_sql, rule, whole_range,
 )
 from thresher.plans.registry import register, rounded
 from thresher.sources.events import STANDIN_SOURCE, flatten_message, latest_deliveries, matched_events, nested_events
@@ -15,7 +15,7 @@ from thresher.sources.events import STANDIN_SOURCE, flatten_message, latest_deli
 
 def _bt(spark, sf_dir, doc, ev=None):
     ev = events(spark, sf_dir) if ev is None else ev
-    return rounded(backtest(ev, doc, RANGE_START, RANGE_END))
+    return rounded(backtest(ev, doc, *whole_range(ev)))
 
 
 def flagship(spark, sf_dir):
@@ -62,7 +62,7 @@ WITH ev AS (SELECT event_id, ts, user_id, NULLIF(event_type, 'error') AS event_t
 d AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL '3600 seconds', ts)
                                                  ORDER BY event_id DESC NULLS LAST) = 1),
 m AS (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM d
-      WHERE ts BETWEEN TIMESTAMP '2023-11-30 18:30:00' AND TIMESTAMP '2024-02-29 18:30:00'),
+      WHERE ts IS NOT NULL),
 g AS (SELECT time_bucket(INTERVAL '3600 seconds', ts) AS ws,
              COALESCE(CAST(event_type AS VARCHAR), 'N/A') || '|' || COALESCE(CAST(k AS VARCHAR), 'N/A') AS groupKey,
              MIN(value) AS mn, MAX(value) AS mx, COUNT(DISTINCT user_id) AS users

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from thresher.functions.timeutil import resolve_range
 from thresher.operators.backtest import rule_matches
 from thresher.operators.breakdown import STANDIN_FLAGS, category_top, location_top, modality_mix, score_histogram
-from thresher.plans.common import MATCHED_SQL, RANGE_END, RANGE_START, cond, events, rule, table
+from thresher.plans.common import MATCHED_SQL, cond, events, rule, table, whole_range
 from thresher.plans.registry import register
 
 BREAKDOWN_RULE = rule("R_BD", ["user_id"], 86400000, [("n", "event_id", "COUNT")], "",
@@ -16,8 +16,9 @@ _M = f"(SELECT * FROM {MATCHED_SQL} mm WHERE value > 5)"
 
 
 def _matched(spark, sf_dir):
-    start, end = resolve_range(RANGE_START, RANGE_END)
-    return rule_matches(events(spark, sf_dir), BREAKDOWN_RULE, start, end)
+    ev = events(spark, sf_dir)
+    start, end = resolve_range(*whole_range(ev))
+    return rule_matches(ev, BREAKDOWN_RULE, start, end)
 
 
 @register("breakdown_modality", covers="A13 V20", sql=f"""

@@ -5,21 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thresher.sources.events import read_table
 
-# Request range used by the backtest plans: wide enough to hold every event
-# of the test tables (local +05:30 text, as a user would send it).
-RANGE_START = "2023-12-01 00:00"
-RANGE_END = "2024-03-01 00:00"
-
 # "now" for plans that look back from the present (fixed so runs repeat).
 NOW_UTC = dt.datetime(2024, 1, 31, 0, 0, 0)
 
-# Same range as naive UTC literals for the SQL side.
-RANGE_START_UTC = "2023-11-30 18:30:00"
-RANGE_END_UTC = "2024-02-29 18:30:00"
-
 # Dedup of the stand-in events: newest event_id per (user_id, hour of ts).
 DEDUP_SQL = """(SELECT * FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL '3600 seconds', ts)
@@ -33,7 +25,7 @@ MATCHED_SQL = f"""(SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS BIGIN
     CAST(event_type = 'view' AS DOUBLE) AS flag_view,
     CAST(event_type = 'click' AS DOUBLE) AS flag_click
   FROM {DEDUP_SQL} d
-  WHERE ts BETWEEN TIMESTAMP '{RANGE_START_UTC}' AND TIMESTAMP '{RANGE_END_UTC}')"""
+  WHERE ts IS NOT NULL)"""
 
 
 def local_sql(expr: str) -> str:
@@ -41,6 +33,15 @@ def local_sql(expr: str) -> str:
     return f"strftime({expr} + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S')"
 
 
+def whole_range(ev: DataFrame) -> tuple[str, str]:
+    """A request range (local text, whole minutes, as a user would send it)
+    that holds every event of the table."""
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        first = last = NOW_UTC
+    return tuple((t + dt.timedelta(minutes=330 + more)).strftime("%Y-%m-%d %H:%M") for t, more in ((first, 0), (last, 1)))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from thresher.functions.timeutil import resolve_range
 from thresher.operators.backtest import rule_matches
-from thresher.plans.common import MATCHED_SQL, RANGE_END, RANGE_START, cond, events, group, rule, table
+from thresher.plans.common import MATCHED_SQL, cond, events, group, rule, table, whole_range
 from thresher.plans.registry import register, rounded
 
 OUT = ["event_id", "user_id", "event_type", "value"]
@@ -14,7 +14,7 @@ OUT = ["event_id", "user_id", "event_type", "value"]
 
 def _matches(spark, sf_dir, tree, ev=None, **kw):
     ev = events(spark, sf_dir) if ev is None else ev
-    start, end = resolve_range(RANGE_START, RANGE_END)
+    start, end = resolve_range(*whole_range(ev))
     doc = rule("F", ["user_id"], 86400000, [("n", "event_id", "COUNT")], "", tree)
     return rounded(rule_matches(ev, doc, start, end, **kw).select(*OUT))
 

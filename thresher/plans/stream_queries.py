@@ -140,19 +140,19 @@ SELECT ruleId, groupKey, windowStart, windowEnd, cnt, total, thresholdBreached,
 FROM n
 QUALIFY row_number() OVER (PARTITION BY ruleId, groupKey, windowStart ORDER BY isFinal DESC, seq DESC) = 1""")
 def stream_live_state(spark, sf_dir):
-    """Result messages land as four files in arrival order; the stream takes
-    one file per micro-batch and merges each batch's changed keys into the
+    """Result messages land in four parts in arrival order; the stream takes
+    four files per micro-batch and merges each batch's changed keys into the
     view.  The final view must equal the batch upsert of all messages."""
     inbox = scratch_path(spark, "messages")
     raw = raw_result_json(messages(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
     top = raw.agg(F.max("seq")).first()[0]
     step = top // 4 + 1
     for i in range(4):  # sequential writes: file times follow arrival order
-        raw.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).coalesce(1) \
+        raw.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).repartitionByRange(4, "seq") \
             .write.mode("append").json(inbox)
     raw.unpersist()
     merger = ViewMerger(scratch_path(spark, "view"))
-    stream = message_stream(spark, inbox).select(*STATE_COLS)
+    stream = message_stream(spark, inbox, max_files_per_trigger=4).select(*STATE_COLS)
     run_available(keyed_latest(stream), "update", scratch_path(spark, "view-ckpt"), merger)
     view = spark.read.parquet(merger.snapshot_path(merger.last_epoch))
     # cnt and total once more from the aggregates that the view carries, under whatever names

@@ -21,6 +21,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thresher.functions.timeutil import ntz_to_instant, parse_window_start_col
 from thresher.operators.livestate import KEY, cap_per_rule, prune_leading
 from thresher.sources.results import normalise_results
 
@@ -36,8 +37,6 @@ def keyed_latest(normalised: DataFrame, retention_hours: float | None = None) ->
     dropped -- the stream form of the retention prune, and what keeps the
     state bounded.  Messages whose window start does not parse are dropped
     when a retention is set (they could never be evicted)."""
-    from thresher.functions.timeutil import ntz_to_instant, parse_window_start_col
-
     others = [c for c in STATE_COLS if c not in KEY]
     best = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col("isFinal"), F.col("seq")))
     keys = list(KEY)
@@ -63,13 +62,16 @@ class ViewMerger:
     """foreachBatch target: merge the changed keys into the view snapshot."""
 
     def __init__(self, base_path: str, cap: int | None = None, cutoff: dt.datetime | None = None,
-                 initial: DataFrame | None = None):
-        """`initial`: a start-up state (e.g. the results table's recent rows,
+                 initial: DataFrame | None = None, retention_hours: float | None = None):
+        """With `retention_hours`, rows go whose window started that long
+        before the newest window of the view (rows whose start can't be read
+        stay).  `initial`: a start-up state (e.g. the results table's recent rows,
         upserted) that replaces the view before the first micro-batch."""
         self.base_path = base_path.rstrip("/")
         self.cap = cap
         self.cutoff = cutoff
         self.initial = initial
+        self.retention_hours = retention_hours
         self.last_epoch: int | None = None
 
     def snapshot_path(self, epoch: int) -> str:
@@ -87,6 +89,10 @@ class ViewMerger:
         view = cap_per_rule(view, self.cap)
         if self.cutoff is not None:
             view = prune_leading(view, self.cutoff)
+        if self.retention_hours is not None:
+            started = parse_window_start_col(F.col("windowStart"))
+            oldest = view.agg(F.max(started)).scalar() - F.make_dt_interval(secs=F.lit(self.retention_hours * 3600))
+            view = view.where(started.isNull() | (started >= oldest))
         view.write.mode("overwrite").parquet(self.snapshot_path(epoch))
         self.last_epoch = epoch
 
