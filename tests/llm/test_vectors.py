@@ -87,6 +87,7 @@ def test_nearest_recall(spark, spread):
     found = got(ann_posting.nearest(frame(spark, rows + ODD[:6])))
     want = exact([r[:2] for r in rows], 20, 20, False)
     pairs = {(q, i) for q, _, i, _ in want}
+    assert len(found) == len(want)  # twenty for each query, those on a centroid too
     assert len({(q, i) for q, _, i, _ in found} & pairs) >= 0.9 * len(pairs)
     score = {(q, i): s for q, _, i, s in want}
     assert all(abs(score[q, i] - s) < 1e-12 for q, _, i, s in found if (q, i) in score)

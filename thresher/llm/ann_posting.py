@@ -12,7 +12,7 @@
   lists in all whose centroids are not much farther, unless a chosen centroid
   is nearer to that centroid than the vector is.
 * A query reads the lists whose centroids are within a ratio of the nearest
-  one's distance, and scores their vectors exactly, in double precision.
+  one's distance (and LEAST at least), and scores their vectors exactly, in double precision.
 
 Long lists are dealt into parts of at most PART vectors, so no task holds an
 unbounded list.  Defined cases: vectors that are null, zero, or hold null, NaN
@@ -40,6 +40,7 @@ SAMPLE = 65536
 REPLICAS = 4
 NEAR = 1.15  # distance ratio up to which a boundary vector is replicated
 RATIO = 1.35  # distance ratio up to which a query reads a list
+LEAST = 16  # lists that a query reads at least: one on a centroid has all others infinitely farther
 BEAM = 128  # lists a query's graph search keeps in view
 DEGREE = 24
 PART = 1024
@@ -196,7 +197,7 @@ def _select(index, beam: int, ratio: float):
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 view, d = g.search(g.aimed(matrix(pa.chunked_array([part.column("v")]), g.dim)), beam)
-                r, c = np.nonzero(d <= ratio**2 * d[:, :1] + 1e-12)
+                r, c = np.nonzero((d <= ratio**2 * d[:, :1] + 1e-12) | (np.arange(d.shape[1]) < LEAST))
                 yield pa.RecordBatch.from_arrays([part.column("nr").take(pa.array(r)), pa.array(view[r, c], pa.int32())], ["nr", "list"])
 
     return run
