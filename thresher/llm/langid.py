@@ -112,8 +112,8 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, counts, _ in count_rows(batch.column("text").to_pylist()):
             for row in counts:
                 at = np.flatnonzero(row)
-                index.append(at.astype(np.int32))
-                value.append(row[at])
+                index.append(at.astype("<u2"))
+                value.append(np.minimum(row[at], 65535).astype("<u2"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("lang"), batch.column("pick"), pa.array([x.tobytes() for x in index], pa.binary()), pa.array([x.tobytes() for x in value], pa.binary())],
             ["lang", "pick", "bucket", "n"])
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, eligible: Column) -> LanguageModel | None:
     rows = sample.select("lang", "pick", "text").mapInArrow(_sparse_rows, "lang string, pick long, bucket binary, n binary").orderBy("lang", "pick", "n").limit(2 * SAMPLE).collect()
     labels = np.array([names.index(r.lang) for r in rows])
     held = np.array([r.pick % 5 == 0 for r in rows])
-    sparse = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.float32)) for r in rows]
+    sparse = [(np.frombuffer(r.bucket, "<u2"), np.frombuffer(r.n, "<u2")) for r in rows]
 
     def dense(which: np.ndarray) -> np.ndarray:
         x = np.zeros((len(which), DIM), np.float32)
