@@ -131,7 +131,7 @@ def stream_sink_routing(spark, sf_dir):
     return sinks[0].unionByName(sinks[1]).unionByName(sinks[2])
 
 
-@register("stream_live_state", covers="ST1 ST3 ST4 ST6 ST9 U2 S6", sql=f"""
+@register("stream_live_state", covers="ST1 ST3 ST9 S5", sql=f"""
 WITH {MESSAGES_CTE},
 n AS (SELECT ruleId, groupKey, windowStart, windowEnd, cnt, total, thresholdBreached,
              CASE WHEN ruleId = 'R_TYPE_HOUR' THEN true ELSE isFinal END AS isFinal, seq FROM messages)
