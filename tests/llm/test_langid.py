@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from thresher.llm import langid as L
 
@@ -37,6 +38,24 @@ def test_reruns_agree_and_labels_of_held_out_rows_do_not_matter(documents):
     assert a == b
 
 
+def test_a_repeated_row_leaves_room_for_every_language(documents, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 60)
+    data = rows(300, seed=4)
+    learned = [r for r in data if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    few = [r for r in learned if r[2] == "aa"][:6]
+    data = [r for r in data if r[2] != "aa"] + few + few[:1] * 200
+    got = L.identify(documents(data)).collect()
+    assert len(got) == len(data) and {r.lang_pred for r in got} == {"aa", "bb", "cc"}
+    lang = {r[0]: r[2] for r in data}
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.9
+
+
+def test_more_languages_than_the_sample_has_rows(documents, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 2)
+    with pytest.raises(ValueError, match="languages"):
+        L.identify(documents(rows(30)))
+
+
 def test_nothing_to_learn_from(documents):
     assert L.identify(documents([])).collect() == []
     assert {(r.lang_pred, r.score) for r in L.identify(documents([(1, "ab"), (3, "cd")])).collect()} == {("und", 0.0)}

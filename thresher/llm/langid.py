@@ -7,7 +7,8 @@ penalties, then temperature calibration.
   is (1 + ln count) * idf, and a text's vector has length one.
 * Document frequencies are counted over every eligible row of the table; the
   classifier is fitted on a bounded sample of them (SAMPLE rows in all, shared
-  evenly by the languages, those of smallest hash first).  One fifth of the
+  evenly by the languages, those of smallest hash first; a row repeated in
+  doc_id and text counts once; more than SAMPLE languages are an error).  One fifth of the
   sample sets the temperature.
 * Prediction reads every whole text, in one scan, and shuffles nothing.
 
@@ -179,9 +180,11 @@ def fit(docs: DataFrame, eligible: Column) -> LanguageModel | None:
     and text and lang are known."""
     known = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("pick"))
-    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(SAMPLE).collect()]
+    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(SAMPLE + 1).collect()]
     if not names:
         return None
+    if len(names) > SAMPLE:
+        raise ValueError(f"more than {SAMPLE} languages: the sample has no row for each of them")
     frequencies = known.select("text").mapInArrow(_document_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     seen = np.zeros(DIM + 1, np.int64)
     for bucket, n in frequencies.collect():  # DIM + 1 rows
@@ -189,9 +192,11 @@ def fit(docs: DataFrame, eligible: Column) -> LanguageModel | None:
     idf = (np.log((1 + seen[0]) / (1 + seen[1:])) + 1).astype(np.float32)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
     quota = min(1000, max(1, SAMPLE // len(names)))  # small enough for each task to keep only so many
-    smallest = known.select("lang", "pick").withColumn("nth", rank).filter(F.col("nth") <= quota).groupBy("lang").agg(F.max("pick").alias("last"))
+    # a repeated row counts once, so the quota bounds the sample
+    smallest = known.select("lang", "pick").distinct().withColumn("nth", rank).filter(F.col("nth") <= quota).groupBy("lang").agg(F.max("pick").alias("last"))
     sample = known.join(F.broadcast(smallest), "lang").filter(F.col("pick") <= F.col("last"))  # at most SAMPLE rows on the small side
-    rows = sample.select("lang", "pick", "text").mapInArrow(_sparse_rows, "lang string, pick long, bucket binary, n binary").orderBy("lang", "pick", "n").limit(2 * SAMPLE).collect()
+    once = sample.groupBy("lang", "pick").agg(F.min("text").alias("text"))  # SAMPLE rows at most
+    rows = once.mapInArrow(_sparse_rows, "lang string, pick long, bucket binary, n binary").orderBy("lang", "pick").collect()
     labels = np.array([names.index(r.lang) for r in rows])
     held = np.array([r.pick % 5 == 0 for r in rows])
     sparse = [(np.frombuffer(r.bucket, "<u2"), np.frombuffer(r.n, "<u2")) for r in rows]
