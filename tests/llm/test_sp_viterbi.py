@@ -51,6 +51,16 @@ def test_round_trip_and_columns(spark, documents):
     assert V.encode(documents([])).collect() == []
 
 
+def test_every_code_point_is_itself(spark, documents):
+    """U+2581 of a text, noncharacters and the ends of the planes: ids of their own, and back."""
+    texts = ["\ufdd0", "▁", "a\ufdd0▁b", "\ufdd0 \ufdd0\n▁ ▁", "\ufdef\ufffe\uffff", "\ud7ff\ue000\U0010ffff\U0010fffe"]
+    coded = V.encode(documents(list(enumerate(texts))))
+    rows = {r.doc_id: r for r in coded.collect()}
+    assert [rows[i].round_trip for i in range(len(texts))] == [True] * len(texts)
+    assert rows[0].token_ids != rows[1].token_ids
+    assert {r.doc_id: r.text for r in V.decode(coded).select("doc_id", "text").collect()} == dict(enumerate(texts))
+
+
 def test_memory_turns_over(monkeypatch):
     monkeypatch.setattr(V, "MEMORY", 20)
     model = V.Unigram(*V.read_pieces(V.MODEL))

@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMORY = 600_000  # distinct words remembered by a worker, about
 TOGETHER = 1 << 18  # characters of words advanced at once
 BLANK = "▁"
-OWN_BLANK = "\ufdd0"  # stands for a U+2581 of the text itself; no text may hold this code point
+OWN_BLANK = "\ud800"  # stands for a U+2581 of the text itself: a lone surrogate, which UTF-8, and so no text, can hold
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNKNOWN_PENALTY = 10.0
 
@@ -184,7 +184,7 @@ class Unigram:
         holds, stand alone."""
         if not text:
             return []
-        if BLANK in text or OWN_BLANK in text:
+        if BLANK in text:
             text = text.replace(BLANK, OWN_BLANK)
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+$", (" " + text).replace(" ", BLANK))
