@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMORY = 600_000  # distinct words remembered by a worker, about
 TOGETHER = 1 << 18  # characters of words advanced at once
 BLANK = "▁"
-OWN_BLANK = "\ud800"  # stands for a U+2581 of the text itself: a lone surrogate, which UTF-8, and so no text, can hold
+OWN_BLANK = "\ud800"  # stands for a U+2581 of the text itself: a lone surrogate, which no UTF-8 text can hold
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNKNOWN_PENALTY = 10.0
 
