@@ -111,7 +111,7 @@ class _Reader:
         value = self.signed()
         while sign := self.next_is("*", "/"):
             other = self.signed()
-            value = value * other if sign == "*" else F.try_divide(value.cast("double"), other.cast("double"))
+            value = value * other if sign == "*" else self.divided(value, other)
         return value
 
     def signed(self) -> Column:
@@ -127,28 +127,118 @@ class _Reader:
         if self.next_is("CASE"):
             return self.case()
         if word := self.next_is("TRUE", "FALSE"):
-            return F.lit(word == "TRUE")
+            return self.literal(word == "TRUE")
         token = self.left.pop() if self.left else ""
         if token in self.columns:
             return self.columns[token]
         if token and token[0] in ".0123456789":
-            return F.lit(int(token)) if token.isdigit() and len(token) < 19 else F.lit(float(token))
+            return self.literal(int(token) if token.isdigit() and len(token) < 19 else float(token))
         raise ThresholdError(f"unexpected {token or 'end'!r}")
 
     def case(self) -> Column:
         operand = None if self.left and self.left[-1] == "WHEN" else self.either()
-        chain = F
+        branches, other = [], None
         self.must("WHEN")
         while True:
             when = self.either()
             self.must("THEN")
-            chain = chain.when(when if operand is None else operand == when, self.either())
+            branches.append((when if operand is None else operand == when, self.either()))
             if not self.next_is("WHEN"):
                 break
         if self.next_is("ELSE"):
-            chain = chain.otherwise(self.either())
+            other = self.either()
         self.must("END")
-        return chain
+        return self.chosen(branches, other)
+
+    # what depends on the kind of value
+
+    def literal(self, value):
+        return F.lit(value)
+
+    def divided(self, a, b):
+        return F.try_divide(a.cast("double"), b.cast("double"))
+
+    def chosen(self, branches, other):
+        chain = F
+        for when, then in branches:
+            chain = chain.when(when, then)
+        return chain if other is None else chain.otherwise(other)
+
+
+class _Plain:
+    """One value with SQL's rules for null; for rows of many rules, each with
+    a threshold of its own, where the text is data and not part of the plan."""
+
+    __slots__ = ("v",)
+    __hash__ = None
+
+    def __init__(self, v):
+        self.v = v
+
+    def _with(self, other, f):
+        return _Plain(None if self.v is None or other.v is None else f(self.v, other.v))
+
+    def __or__(self, other):
+        sides = (self.v, other.v)
+        return _Plain(True if any(s is not None and bool(s) for s in sides) else None if None in sides else False)
+
+    def __and__(self, other):
+        sides = (self.v, other.v)
+        return _Plain(False if any(s is not None and not s for s in sides) else None if None in sides else True)
+
+    def __invert__(self):
+        return _Plain(None if self.v is None else not self.v)
+
+    def __neg__(self):
+        return _Plain(None if self.v is None else -self.v)
+
+    def __eq__(self, other):
+        return self._with(other, lambda a, b: a == b)
+
+    def __ne__(self, other):
+        return self._with(other, lambda a, b: a != b)
+
+    def __lt__(self, other):
+        return self._with(other, lambda a, b: a < b)
+
+    def __le__(self, other):
+        return self._with(other, lambda a, b: a <= b)
+
+    def __gt__(self, other):
+        return self._with(other, lambda a, b: a > b)
+
+    def __ge__(self, other):
+        return self._with(other, lambda a, b: a >= b)
+
+    def __add__(self, other):
+        return self._with(other, lambda a, b: a + b)
+
+    def __sub__(self, other):
+        return self._with(other, lambda a, b: a - b)
+
+    def __mul__(self, other):
+        return self._with(other, lambda a, b: a * b)
+
+
+class _PlainReader(_Reader):
+    def literal(self, value):
+        return _Plain(value)
+
+    def divided(self, a, b):
+        return a._with(b, lambda x, y: None if y == 0 else x / y)
+
+    def chosen(self, branches, other):
+        return next((then for when, then in branches if when.v), other if other is not None else _Plain(None))
+
+
+def threshold_of(expr: str | None, values: dict) -> bool:
+    """The flag for one row's aggregate values; as `compile_threshold` where
+    the text is part of the plan."""
+    try:
+        found = tokens(expr or "", set(values))
+        return bool(found) and bool(_PlainReader(found, {k: _Plain(v) for k, v in values.items()}).whole().v)
+    except (ThresholdError, RecursionError):
+        return False
 
 
 def compile_threshold(expr: str | None, aliases: list[str] | set[str],

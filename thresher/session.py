@@ -62,6 +62,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SENT_TO: set[str] = set()
+
+
+def send_source(spark: SparkSession) -> None:
+    """Give the executors this package, as --py-files would; once per
+    application.  Needed where tasks run its Python."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SENT_TO:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="thresher-source-"), "thresher_source.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _SENT_TO.add(app)
+
+
 def finished_epochs(spark: SparkSession, path: str) -> list[int]:
     """The epochs whose folder `epoch=N` under `path` is complete."""
     jvm = spark.sparkContext._jvm
