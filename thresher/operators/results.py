@@ -21,7 +21,7 @@ from thresher.functions.timeutil import (
 from thresher.spec import clamp
 
 KEY = ["ruleId", "groupKey", "windowStart"]
-LIVE_DEFAULT, LIVE_MAX = 100, 1000
+LIVE_MAX = 1000
 TOP_DEFAULT, TOP_MAX = 50, 200
 
 
@@ -70,10 +70,11 @@ def _newest(df: DataFrame, limit: int | None) -> DataFrame:
 
 
 def live_results(results: DataFrame, rule_id: str, limit: int | None = None) -> DataFrame:
-    """Latest versions of one rule, newest windows first (limit 1..1000,
-    default 100)."""
-    n = clamp(limit, 1, LIVE_MAX, LIVE_DEFAULT)
-    return _newest(latest_versions(results.where(F.col("ruleId") == rule_id)), n)
+    """Latest versions of one rule; with a limit (1..1000, else an error), the
+    newest windows first."""
+    if limit is not None and not 1 <= limit <= LIVE_MAX:
+        raise ValueError(f"limit must be between 1 and {LIVE_MAX}")
+    return _newest(latest_versions(results.where(F.col("ruleId") == rule_id)), limit)
 
 
 def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: int, now: dt.datetime,

@@ -52,7 +52,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 def load_all() -> dict[str, Registered]:
     """Import every plan module so their registrations run."""
     from thresher.plans import (  # noqa: F401
-        access_queries, backtest_queries, breakdown_queries, filter_queries, live_queries,
+        access_queries, backtest_queries, breakdown_queries, filter_queries, live_queries, live_stream_queries,
         multi_rule_queries, results_queries, rules_queries, stream_queries,
     )
 

@@ -15,12 +15,20 @@ TOP_START, TOP_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 @register("results_live_latest", covers="S4 F20 O2", sql=f"""
 WITH {MESSAGES_CTE}
-SELECT {_SEL} FROM latest WHERE ruleId = 'R_USER_DAY'
-ORDER BY windowStart DESC, ruleId, groupKey LIMIT 100""")
+SELECT {_SEL} FROM latest WHERE ruleId = 'R_USER_DAY'""")
 def results_live_latest(spark, sf_dir):
     return live_results(messages(spark, sf_dir), "R_USER_DAY").select(*COLS)
 
 
+@register("results_live_newest", covers="O2", sql=f"""
+WITH {MESSAGES_CTE}
+SELECT {_SEL} FROM latest WHERE ruleId = 'R_USER_DAY'
+ORDER BY windowStart DESC, ruleId, groupKey LIMIT 100""")
+def results_live_newest(spark, sf_dir):
+    """The newest hundred windows of a rule, on request."""
+    return live_results(messages(spark, sf_dir), "R_USER_DAY", 100).select(*COLS)
+
+
 @register("results_multi_last_hours", covers="F21 O3 A18", sql=f"""
 WITH {MESSAGES_CTE}
 SELECT {_SEL} FROM latest

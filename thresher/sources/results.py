@@ -206,6 +206,14 @@ def _scalar_text(v: Column, key: str) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).when(kind.rlike(_NUMERIC_TYPES), F.to_json(x))
 
 
+def _time_text(v: Column, key: str) -> Column:
+    """A time field: JSON text as it is; any JSON number is epoch milliseconds,
+    written in whole digits whatever its notation (`1.7051904e12`)."""
+    x = _field(v, key)
+    whole = F.try_variant_get(x, "$", "double")
+    return F.when(F.schema_of_variant(x).rlike(_NUMERIC_TYPES), F.when(F.abs(whole) < 1e16, whole.cast("long").cast("string"))).otherwise(_scalar_text(v, key))
+
+
 def _aggregates_text(v: Column) -> Column:
     """A message's aggregates as text, whatever their names: the JSON of an
     object (`aggResult`, else the legacy `aggregationResults`, sent as an object
@@ -252,7 +260,7 @@ def normalise_results(raw: DataFrame, value_col: str = "value") -> DataFrame:
     return parsed.where(is_object).select(
         *rest,
         rule_id.alias("ruleId"), _route(rule_id, v).alias("routeId"), group_key.alias("groupKey"),
-        _scalar_text(v, "windowStart").alias("windowStart"), _scalar_text(v, "windowEnd").alias("windowEnd"),
+        _time_text(v, "windowStart").alias("windowStart"), _scalar_text(v, "windowEnd").alias("windowEnd"),
         _scalar_text(v, "producedAt").alias("producedAt"), agg_text.alias("aggResult"),
         aggregate(agg_text, "cnt", "bigint").alias("cnt"), aggregate(agg_text, "total", "double").alias("total"),
         coerce_breached(v).alias("thresholdBreached"), coerce_final(v).alias("isFinal"),
@@ -280,5 +288,5 @@ def normalise_anomalies(raw: DataFrame, value_col: str = "value") -> DataFrame:
         .otherwise(F.nullif(_text(v, "id"), F.lit("")))
     return parsed.where(F.schema_of_variant(v).startswith("OBJECT")).select(
         *rest, rule_id.alias("ruleId"), _route(rule_id, v).alias("routeId"),
-        _scalar_text(v, "groupKey").alias("groupKey"), _scalar_text(v, "windowStart").alias("windowStart"),
+        _scalar_text(v, "groupKey").alias("groupKey"), _time_text(v, "windowStart").alias("windowStart"),
         _scalar_text(v, "producedAt").alias("producedAt"), F.lit("anomaly").alias("event_type"), F.to_json(v).alias("body"))

@@ -108,21 +108,25 @@ class ViewMerger:
         return None if self.initial is None else self.initial.select(*STATE_COLS, "first_seq")
 
 
+def arrival_order(time: str, partition: str, offset: str):
+    """The order of records of several partitions, as a struct that compares by
+    record time, then partition, then offset (offsets of different partitions
+    alone can't be compared, and no number has room for all three)."""
+    return F.struct(F.col(time).alias("time"), F.col(partition).cast("long").alias("partition"), F.col(offset).cast("long").alias("offset"))
+
+
 def kafka_message_stream(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
                          max_offsets_per_trigger: int | None = None) -> DataFrame:
     """Result (or anomaly) messages from a Kafka topic: the record value as
-    JSON text and an arrival order over all partitions (`seq`: the record
-    time in milliseconds, then partition and offset, in one number; offsets
-    of different partitions alone can't be compared), ready for
+    JSON text and an arrival order over all partitions (`seq`, see
+    `arrival_order`), ready for
     `normalise_results` / `normalise_anomalies`.  `maxOffsetsPerTrigger`
     bounds a micro-batch (back-pressure).  Needs the Kafka connector jar."""
     r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
          .option("subscribe", topic).option("startingOffsets", starting))
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
-    # 41 bits of milliseconds hold times until 2039; records of one millisecond
-    # and partition follow their offset's last 12 bits, partitions their last 10
-    seq = (F.shiftleft(F.unix_millis("timestamp"), 22) + F.shiftleft((F.col("partition") % 1024).cast("long"), 12) + F.col("offset") % 4096)
+    seq = arrival_order("timestamp", "partition", "offset")
     return r.load().select(F.col("value").cast("string").alias("value"), seq.alias("seq"),
                            F.col("partition"), F.col("offset"), F.col("timestamp").alias("kafka_ts"))
 
