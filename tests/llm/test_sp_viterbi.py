@@ -75,3 +75,27 @@ def test_words_of_a_text_are_independent():
     text = "the quick brown  fox\njumps over"
     whole = model._learn([(" " + text).replace(" ", V.BLANK)])
     assert b"".join(whole.values()) == model.encode([text])[0]
+
+
+def test_a_long_word_is_coded_as_a_short_one_would_be(monkeypatch):
+    rng = random.Random(12)
+    model = V.Unigram(*V.read_pieces(V.MODEL))
+    words = [V.BLANK + "".join(rng.choice("etaoin shrdlu日é\u0001😀ßxqz".replace(" ", "")) for _ in range(n)) for n in (5, 40, 300, 2000)]
+    want = [model._viterbi([w], len(w))[0] for w in words]
+    for stretch in (7, 64, 1 << 15):
+        monkeypatch.setattr(V, "LONG", stretch)
+        assert [model._viterbi_of_one(w) for w in words] == want
+
+
+def test_a_very_long_word_keeps_its_memory(monkeypatch):
+    """A word of 200,000 letters: coded in a stretch at a time, and back."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    model = V.load(V.MODEL)
+    tracemalloc.start()
+    ids = np.frombuffer(model.encode([text])[0], "<i4")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.decode(ids) == text and peak < 60_000_000

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thresher.llm.shared import slices, stored, text_bytes
+from thresher.llm.shared import lean, slices, stored, text_bytes
 from thresher.llm.words import LOWER, LOWER_TEXT, PATTERN, UPPER_TEXT, Vocabulary, word_spans
 
 K = 10
@@ -54,6 +54,7 @@ def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bags(shipped) -> object:
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shipped.value
         size = np.int64(max(len(vocabulary.words), 1))
@@ -111,6 +112,7 @@ class _Best:
 
 
 def _score(shipped, k: int) -> object:
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Asked = shipped.value
         n_items = len(asked.items)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thresher.llm.shared import mix64, slices, stored, text_bytes
+from thresher.llm.shared import lean, mix64, slices, stored, text_bytes
 from thresher.llm.words import LOWER, LOWER_TEXT, PATTERN, UPPER_TEXT, HashTable, runs, same_bytes, word_hashes, word_spans
 
 WINDOW = 10
@@ -119,6 +119,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _count(vocabulary) -> object:
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = vocabulary.value
         counts = {width: np.zeros(len(t.keys), np.int64) for width, t in tables.items()}
@@ -182,6 +183,7 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def _probe(block) -> object:
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = block.value
         ids = pa.array(windows.item_ids, pa.string())

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thresher.llm.shared import plus
+from thresher.llm.shared import lean, plus
 
 DIM = 1 << 14
 GRAMS = 4
@@ -97,6 +97,7 @@ def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-12)
 
 
+@lean
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, rows = np.zeros(DIM, np.int64), 0
     for batch in batches:
@@ -107,6 +108,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.append(rows, seen))], ["bucket", "n"])
 
 
+@lean
 def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         index, value = [], []
@@ -221,6 +223,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_of: Callable[[pa.
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     given = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages floats
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
         for batch in batches:
@@ -242,8 +245,8 @@ def identify(docs: DataFrame) -> DataFrame:
     crc32(doc_id as text) mod 3 is not 1 (a null doc_id teaches nothing)."""
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = fit(docs, third != 1)
-    lean = docs.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return predict(lean, model).drop("text")
+    rows = docs.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return predict(rows, model).drop("text")
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:

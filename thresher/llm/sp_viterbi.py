@@ -22,6 +22,7 @@ any length work (time grows with the length, memory too).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from thresher.llm.shared import mix64, plus
+from thresher.llm.shared import lean, mix64, plus
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMORY = 600_000  # distinct words remembered by a worker, about
-TOGETHER = 1 << 18  # characters of words advanced at once
+MEMORY = 32_000_000  # bytes of words that a worker remembers, about
+TOGETHER = 1 << 15  # characters of words advanced at once
+LONG = 1 << 15  # a longer word is walked by itself, in pieces of so many characters
+_ENTRY = 250  # bytes of a remembered word beside its letters and ids, about
 BLANK = "▁"
 OWN_BLANK = "\ud800"  # stands for a U+2581 of the text itself: a lone surrogate, which no UTF-8 text can hold
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +83,7 @@ class Unigram:
         self.lines = any("\n" in pieces[i] for i in normal)
         self.words: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of `words`, about
 
     @staticmethod
     def _hash(text: str) -> np.uint64:
@@ -96,6 +100,10 @@ class Unigram:
         at = 0
         while at < len(words):
             n = int(lengths[at])
+            if n > LONG:
+                found[words[at]] = self._viterbi_of_one(words[at])
+                at += 1
+                continue
             end = min(int(np.searchsorted(lengths, n, "right")), at + max(1, TOGETHER // n))
             found |= zip(words[at:end], self._viterbi(words[at:end], n), strict=True)
             at = end
@@ -152,6 +160,49 @@ class Unigram:
             out[w] = self._with_bytes(words[w], token[cut[w]:cut[w + 1]]).astype("<i4").tobytes()
         return out
 
+    def _viterbi_of_one(self, word: str) -> bytes:
+        """As `_viterbi` for one long word: pieces are looked up for a stretch of
+        starts at a time, and each start hands its best sum on to the ends of
+        its pieces; 14 bytes a character are kept."""
+        n = len(word)
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        best, width, token = array("d", [-np.inf]) * (n + 1), array("h", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for begin in range(0, n, LONG):
+            starts = min(LONG, n - begin)
+            here = points[begin:begin + starts + self.longest]
+            chars = here.astype(np.uint64) + np.uint64(1)
+            code, found = np.zeros(starts, np.uint64), []
+            for k in range(min(self.longest, len(here))):
+                count = min(starts, len(here) - k)
+                code = code[:count] * _STEP + chars[k:k + count]
+                probe = mix64(code)
+                at = np.flatnonzero(self.maybe[(probe >> np.uint64(44)).astype(np.int64)])
+                slot = np.minimum(np.searchsorted(self.keys, probe[at]), len(self.keys) - 1)
+                same = self.keys[slot] == probe[at]
+                at, slot = at[same], slot[same]
+                found.append((at, np.full(len(at), k + 1), self.ids[slot], self.scores[slot]))
+                if k == 0:  # characters that are no piece stand alone
+                    alone = np.ones(count, bool)
+                    alone[at] = False
+                    at = np.flatnonzero(alone)
+                    ids = np.full(len(at), -1, np.int32)
+                    low = here[at] < 128
+                    ids[low] = self.byte_ids[here[at][low]]
+                    found.append((at, np.ones(len(at), np.int64), ids, np.full(len(at), self.unknown)))
+            at, size, ids, gain = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(at, kind="stable")
+            for start, k, i, g in zip((at[order] + begin).tolist(), size[order].tolist(), ids[order].tolist(), gain[order].tolist()):
+                total, end = best[start] + g, start + k
+                if total > best[end]:  # of equal sums the first, with the longest piece, stays
+                    best[end], width[end], token[end] = total, k, i
+        out, end = [], n
+        while end:
+            out.append(token[end])
+            end -= width[end]
+        ids = np.array(out[::-1], np.int32)
+        return (self._with_bytes(word, ids) if (ids < 0).any() else ids).astype("<i4").tobytes()
+
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         """The ids with each uncovered character (-1) as its bytes."""
         out, at = [], 0
@@ -175,8 +226,9 @@ class Unigram:
         self.words |= self._learn(list(missing.difference(known)))
         get = self.words.__getitem__
         out = [None if words is None else b"".join(map(get, words)) for words in split]
-        if len(self.words) > MEMORY // 2:  # words not met again by the next time are forgotten
-            self.old, self.words = self.words, {"": b""}
+        self.held += sum(len(w) + len(self.words[w]) + _ENTRY for w in missing)
+        if self.held > MEMORY // 2:  # words not met again by the next time are forgotten
+            self.old, self.words, self.held = self.words if self.held < MEMORY else {}, {"": b""}, 0
         return out
 
     def _split(self, text: str) -> list[str]:
@@ -225,8 +277,9 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text") -> DataFram
     round_trip: whether the ids decode to the very text.  The vocabulary file
     must be at `path` on every executor."""
     kept = [c for c in docs.columns if c not in (column, "token_ids", "n_tokens", "round_trip")]
-    lean = docs.select(*kept, docs[column].cast("string").alias("_text"))
+    texts_of = docs.select(*kept, docs[column].cast("string").alias("_text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
@@ -245,14 +298,15 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text") -> DataFram
                      pa.array([None if c is None else len(c) for c in ids], pa.int64()), pa.array(same, pa.bool_())],
                     [*kept, "token_ids", "n_tokens", "round_trip"])
 
-    schema = plus(lean.drop("_text").schema, token_ids=T.ArrayType(T.IntegerType()), n_tokens=T.LongType(), round_trip=T.BooleanType())
-    return lean.select(*kept, "_text").mapInArrow(run, schema)
+    schema = plus(texts_of.drop("_text").schema, token_ids=T.ArrayType(T.IntegerType()), n_tokens=T.LongType(), round_trip=T.BooleanType())
+    return texts_of.select(*kept, "_text").mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
     """`coded` with the text of its token_ids, as column text."""
     kept = [c for c in coded.columns if c != "text"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thresher.llm.shared import mix64, slices, stored, text_bytes
+from thresher.llm.shared import lean, mix64, slices, stored, text_bytes
 from thresher.llm.words import LOWER, runs
 
 LEAST_LETTERS, LEAST_COUNT, RATIO = 5, 3, 2
@@ -115,6 +115,7 @@ def _count(least: int) -> object:
     def written(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from table.cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=50_000)
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
@@ -220,6 +221,7 @@ _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _TAILS = "id long, way int, size long, place long, node long, rest long, letter long, child long, child_rest long"
 
 
+@lean
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word and way, and each place from the first half's last letter
     on: the node there, the hash of the rest, the next letter (0 at the end),
