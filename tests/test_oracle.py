@@ -54,7 +54,7 @@ def test_entry(spark):
 
 
 ZONE_SAMPLE = ["backtest_user_daily", "filter_dates", "dedup_latest_event", "results_multi_last_hours",
-               "live_prune_leading", "consume_delay_histogram", "stream_tumbling_final", "access_audit_latest"]
+               "live_prune_leading", "consume_delay_histogram", "stream_tumbling_final", "access_audit_latest", "stream_partial_final_late", "stream_multi_rule"]
 
 
 @pytest.mark.parametrize("name", ZONE_SAMPLE)

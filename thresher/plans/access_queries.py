@@ -67,7 +67,7 @@ def access_roles(spark, sf_dir):
     return role_catalogue(*_t(spark, sf_dir))
 
 
-@register("access_matrix", covers="X4 J4 J5", sql=f"""
+@register("access_matrix", covers="X4", sql=f"""
 WITH {ACCESS_CTE}
 SELECT r.name AS role, p.resource || ':' || p.action AS permission, COALESCE(h.holders, 0) AS holders
 FROM grants g JOIN roles r ON r.id = g.role_id JOIN perms p ON p.id = g.permission_id

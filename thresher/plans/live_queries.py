@@ -96,7 +96,7 @@ def live_delta_batch(spark, sf_dir):
                                             "first_seq")
 
 
-@register("live_recent_anomalies", covers="W4 U1 ST10 ST16 D7 C17", sql=f"""
+@register("live_recent_anomalies", covers="U1 ST16 D7 C17", sql=f"""
 WITH {MESSAGES_CTE},
 a AS (SELECT * FROM messages WHERE thresholdBreached AND isFinal),
 buf AS (SELECT * FROM a WHERE ruleId IN ('R_USER_DAY', 'R_TYPE_HOUR')

@@ -84,7 +84,7 @@ def results_group_detail(spark, sf_dir):
     return group_detail(messages(spark, sf_dir), "R_USER_DAY", "42", TOP_START, TOP_END).select(*COLS)
 
 
-@register("results_bootstrap", covers="S7 U2 ST6", sql=f"""
+@register("results_bootstrap", covers="S7", sql=f"""
 WITH {MESSAGES_CTE},
 boot AS (SELECT * FROM latest
          WHERE strptime(windowStart, '%Y-%m-%d %H:%M:%S') - INTERVAL 330 MINUTE >= TIMESTAMP '2024-01-28 00:00:00')

@@ -73,7 +73,7 @@ def stream_tumbling_final(spark, sf_dir):
     return rounded(_final(spark, sf_dir, TUMBLING_RULE, "tumbling"))
 
 
-@register("stream_sliding_final", covers="ST12 ST14 A12", sql=f"""
+@register("stream_sliding_final", covers="ST12 ST14", sql=f"""
 WITH e AS (SELECT *, epoch_us(ts) AS us FROM events),
 w AS (SELECT e.*, ((us - 1800000000) // 7200000000) * 7200000000 + 1800000000 - k * 7200000000 AS ws_us
       FROM e, range(0, 3) r(k)),
