@@ -34,6 +34,36 @@ def test_laws(spark, documents):
     assert again == {(r.doc_id, r["size"], r["shard"], r["slot"]) for r in got}
 
 
+def test_equal_rows_spread(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "COPIES", 64)  # several blocks of one row
+    rows = [(i, "x" * (i % 90)) for i in range(2000)] + [(7, "y" * 100)] * 1000 + [(None, None)] * 300
+    path = f"{shared_dir(spark)}/test-map-5"
+    got = S.shard(documents(rows), path).collect()
+    assert len(got) == len(rows)
+    want = Counter((d, (len(t) if t is not None else 0) + 8) for d, t in rows)
+    assert Counter((r.doc_id, r["size"]) for r in got) == want
+    load, places, slots = Counter(), {}, Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+        slots[r.doc_id, r["size"], r.virtual_slot] += 1
+    share = sum(load.values()) / 24
+    assert len(load) == 24 and max(load.values()) - min(load.values()) <= 0.01 * share
+    assert slots.most_common(1)[0][1] == 1
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_stored_map_is_edited(spark, documents):
+    path = f"{shared_dir(spark)}/test-map-6"
+    rows = [(i, "x" * (i % 90)) for i in range(1000)]
+    one = {r.doc_id: r["shard"] for r in S.shard(documents(rows), path).collect()}
+    more = {r.doc_id: r["shard"] for r in S.shard(documents(rows + [(2000, "z" * 500)]), path).collect()}
+    maps = S.SlotMap(spark, path)
+    assert maps.last() == 3
+    two, three = ({r.slot: r.shard for r in maps.read(v).collect()} for v in (2, 3))
+    assert len(list(S.moved(two, three))) < 60 and sum(one[d] != more[d] for d in one) < 60
+
+
 def test_new_shard_takes_only_into_itself():
     rng = random.Random(1)
     size = {s: rng.randrange(1, 1000) for s in range(S.SLOTS)}

@@ -13,9 +13,10 @@ piece at about PIECE rows), within a sub-slot by order.  So no task numbers
 more than a piece.
 
 Defined cases: a null text has no bytes and counts 8 for its record; records
-are hashed by doc_id and text, so null or repeated ids spread; rows equal in
-both share a slot and have places of their own; an empty table has the map of
-version 1 and no rows.
+are hashed by doc_id and text, so null or repeated ids spread; rows equal in both are
+counted and their copies dealt to one slot after the other, so that no slot is
+theirs (which copy goes where is all one); an empty table has the map of version 1
+and no rows.  Where the path holds a map already, its last version is edited.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from thresher.llm.shared import stored
 SLOTS = 4096
 PIECE = 20_000
 OVERHEAD = 8  # bytes of a record beside its text
+COPIES = 10_000  # copies of one row that a task deals at a time
 
 
 def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -110,16 +112,34 @@ class SlotMap:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
         return self.read(version)
 
+    def last(self) -> int:
+        """The last whole version; 0 without any."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        whole = [n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return max((int(n.removeprefix("version=")) for n in whole), default=0)
+
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema("slot int, shard int").parquet(f"{self.path}/version={version}")
 
 
 def hashed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot and a hash of each record."""
+    """doc_id, size, text_crc32, virtual_slot and a hash of each record.  Rows
+    equal in doc_id and text are counted first; copy i is dealt i slots further
+    on and has a hash of its own.  A row of very many copies is dealt in blocks,
+    by several tasks."""
     text = F.col("text").cast("string")
-    of = F.xxhash64("doc_id", text)
-    return docs.select(F.col("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-                       of.alias("hash"), F.pmod(of, F.lit(slots)).cast("int").alias("virtual_slot"))
+    records = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
+                          F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("doc_id", text).alias("hash"))
+    counted = records.groupBy("doc_id", "size", "text_crc32", "hash").agg(F.count("*").alias("copies"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))).repartition("hash", "block")
+    first = F.col("block") * COPIES
+    copy = F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1)
+    dealt = blocks.select("doc_id", "size", "text_crc32", "hash", F.explode(copy).alias("copy"))
+    own = F.when(F.col("copy") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "copy"))
+    return dealt.select("doc_id", "size", "text_crc32", own.alias("hash"), F.pmod(F.pmod("hash", F.lit(slots)) + F.col("copy"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_bytes(records: DataFrame) -> dict[int, int]:
@@ -146,12 +166,16 @@ def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, path: str, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard, slot: the records dealt by
-    version 2 of the map at `path`, version 1 rebalanced by their bytes."""
+    a new version of the map at `path`: the last one there (else version 1, the
+    slots in turn) rebalanced by the records' bytes."""
     records = stored(hashed(docs), "records")
     slots = SlotMap(docs.sparkSession, path)
-    size = slot_bytes(records)
-    slots.write(1, first_map(shards))
-    current = slots.write(2, rebalanced(first_map(shards), size, shards))
+    last = slots.last()
+    if not last:
+        slots.write(1, first_map(shards))
+        last = 1
+    held = {r.slot: r.shard for r in slots.read(last).collect()}  # SLOTS rows
+    current = slots.write(last + 1, rebalanced(held, slot_bytes(records), shards))
     return placed(records, current).drop("hash")
 
 
