@@ -23,6 +23,7 @@ from thresher.sources.rule_tables import change_log
 from thresher.streaming.evaluate import (
     evaluate_rule_family, evaluate_stream, file_event_stream, route_to_sinks, run_available,
 )
+from thresher.streaming.rule_control import RuleStatusTable, admit
 from thresher.streaming.live import STATE_COLS, ViewMerger, keyed_latest, message_stream
 
 TUMBLING_RULE = rule(
@@ -193,3 +194,43 @@ def stream_rule_control(spark, sf_dir):
     out, ckpt = scratch_path(spark, "family-out"), scratch_path(spark, "family-ckpt")
     run_available(evaluate_rule_family(_stream(spark, sf_dir), FAMILY_RULE, key, status), "append", ckpt, out)
     return rounded(spark.read.parquet(out))
+
+
+def _epochs_sql() -> str:
+    from thresher.plans.rules_queries import RULES_CTE
+
+    return f"""
+WITH RECURSIVE {RULES_CTE},
+step AS (SELECT max(event_id) // 4 + 1 AS width FROM events),
+ends AS (SELECT rule_id, seq // width AS part, max(i) AS i
+         FROM (SELECT rule_id, seq, row_number() OVER (PARTITION BY rule_id ORDER BY seq) AS i FROM cl), step GROUP BY ALL),
+m AS (SELECT e.*, ends.rule_id AS rid FROM events e, step
+      JOIN ends ON ends.rule_id = 'rule_' || CAST(e.user_id AS VARCHAR) AND ends.part = e.event_id // width
+      JOIN st ON st.rule_id = ends.rule_id AND st.i = ends.i
+      WHERE st.status = 'ACTIVE' AND e.event_type IN ('purchase', 'click')),
+g AS (SELECT rid, time_bucket(INTERVAL '86400 seconds', ts) AS ws, COUNT(event_id) AS cnt, SUM(value) AS total FROM m GROUP BY rid, ws)
+SELECT rid AS ruleId, '__GLOBAL__' AS groupKey, {local_sql('ws')} AS windowStart,
+       {local_sql("ws + INTERVAL 86400 SECOND")} AS windowEnd, cnt, round(total, 4) AS total,
+       COALESCE(cnt >= 2, false) AS thresholdBreached
+FROM g WHERE ws + INTERVAL 86400 SECOND <= (SELECT max(ts) FROM m) - INTERVAL 3600 SECOND"""
+
+
+@register("stream_rule_control_epochs", covers="ST15 R5 R7", sql=_epochs_sql())
+def stream_rule_control_epochs(spark, sf_dir):
+    """The events as a log that both changes rules and feeds them, in four
+    micro-batches: each moves the status table on by its own actions, and its
+    events pass if their rule is ACTIVE by then.  So a rule that is paused in
+    one batch loses that batch's events and no earlier ones."""
+    log, admitted = scratch_path(spark, "control-log"), scratch_path(spark, "admitted")
+    ev = events(spark, sf_dir)
+    width = ev.agg(F.max("event_id")).first()[0] // 4 + 1
+    for i in range(4):  # one after the other: file times follow the log
+        ev.where((F.col("event_id") >= i * width) & (F.col("event_id") < (i + 1) * width)).repartitionByRange(4, "event_id").write.mode("append").parquet(log)
+    status = RuleStatusTable(spark, scratch_path(spark, "rule-status"), base_every=3)
+    key = F.concat(F.lit("rule_"), F.col("user_id").cast("string"))
+    source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(log)
+    run_available(source, "append", scratch_path(spark, "control-ckpt"), admit(status, change_log, key, admitted))
+    passed = spark.readStream.schema(ev.schema.add("__rule_id", "string")).parquet(f"{admitted}/*")
+    out = scratch_path(spark, "controlled-out")
+    run_available(evaluate_stream(passed, FAMILY_RULE, rule_col="__rule_id"), "append", scratch_path(spark, "controlled-ckpt"), out)
+    return rounded(spark.read.parquet(out))
