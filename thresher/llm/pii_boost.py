@@ -4,14 +4,18 @@
   plain patterns (whose valid matches are the base spans and always stay) and
   wider ones (bracketed "at"/"dot", phone numbers without a country code, cards
   with other separators, bracketed dots in addresses).
-* Each candidate has a few discrete format and context features.  Candidates
-  of the whole table are counted by feature vector (at most 96,000 vectors),
-  so the boosted trees are fitted on every candidate, by their counts alone.
-  A candidate counts as true when its checks hold (digits, octets, checksum).
+* The boosted trees answer one question of a place in a text: do its
+  surroundings announce a span of this kind?  Their features are the kind, what
+  stands before and after, and the announcing words (whether of this kind); nothing of the format, so
+  that what plain spans teach holds for wide ones.  For each kind the plain
+  spans that pass their checks count as true; its plain matches that fail, the
+  valid spans of other kinds and numbers that belong to no span count as false.
+  Matches of the whole table are counted by feature vector (at most 1,200 of
+  them), so the trees are fitted on every match, by counts alone.
 * The trees' log-odds are calibrated on one fifth of the documents, and each
-  kind gets the least threshold at which the held-out candidates above it are
-  right at least 98 % of the time.  Wide candidates that reach it and don't
-  overlap a base span become added spans.
+  kind gets the least threshold above which held-out matches are shown to be
+  right at least 98 % of the time.  Wide candidates that reach it, pass their
+  kind's check and overlap no base span become added spans.
 
 Positions are code points, end exclusive.  All work on one text stays in its
 row, so nothing is shuffled but the feature counts.
@@ -49,7 +53,8 @@ MAY = {"email": r"@|[\[(]\x20?at", "ip": r"[0-9][\])]?\.?[\[(]?\.?[0-9]", "card"
 # words that stand before a number, by what they announce
 CONTEXT = ((1, r"(?:phone|tel|call|fax|mobile|cell)\W{0,3}$"), (2, r"(?:card|visa|credit|account)\W{0,3}$"), (3, r"(?:ip|host|server|address)\W{0,3}$"),
            (4, r"(?:mail|e-mail|contact)\W{0,3}$"), (5, r"(?:version|v|order|id|no|number|isbn|serial)\W{0,3}$"))
-FEATURES = ("kind", "digits", "luhn", "octets", "groups", "before", "after", "context")
+ANNOUNCES = (4, 3, 2, 1)  # for each kind, the context that announces it
+FEATURES = ("kind", "before", "after", "context", "announced")
 PRECISION = 0.98
 BLOCK = 64
 
@@ -111,17 +116,16 @@ def _luhn(digits: Column) -> Column:
 
 
 def _described(k: int, kind: str, plain: bool) -> Callable[[Column], Column]:
-    """A match as a candidate: its span, whether it counts as true, its features."""
+    """A match as a candidate: its span, whether it passes its kind's check,
+    the features; loose: a number that stands alone and is no card."""
     def described(m: Column) -> Column:
-        digits = F.regexp_replace(m["found"], "[^0-9]", "")
-        n = F.length(digits)
         context = F.coalesce(*[F.when(m["lead"].rlike(p), c) for c, p in CONTEXT], F.lit(0))
-        size = F.when(n == 0, 0).when(n <= 8, 1).when(n == 9, 2).when(n == 10, 3).when(n <= 12, 4).when(n <= 15, 5).when(n <= 19, 6).otherwise(7)
+        before, valid = F.right(m["lead"], F.lit(1)), _valid(kind, m["found"])
+        loose = F.lit(plain and kind == "card") & ~valid & before.rlike(r"^\s?$") & ~F.coalesce(m["next"], F.lit("")).rlike(r"[\p{L}0-9@._%+-]")
         return F.struct(
-            F.lit(k).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), (F.lit(plain) & _valid(kind, m["found"])).alias("base"),
-            _valid(kind, m["found"]).alias("valid"), F.lit(plain).alias("plain"), size.alias("digits"), _luhn(digits).cast("int").alias("luhn"),
-            _octets(m["found"]).cast("int").alias("octets"), F.least(F.size(F.split(m["found"], "[^0-9]+")) - 1, F.lit(4)).alias("groups"),
-            _char_class(F.right(m["lead"], F.lit(1))).alias("before"), _char_class(m["next"]).alias("after"), context.alias("context"))
+            F.lit(k).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), (F.lit(plain) & valid).alias("base"),
+            valid.alias("valid"), F.lit(plain).alias("plain"), loose.alias("loose"),
+            _char_class(before).alias("before"), _char_class(m["next"]).alias("after"), context.alias("context"), (context == ANNOUNCES[k]).cast("int").alias("announced"))
 
     return described
 
@@ -133,7 +137,7 @@ def candidates(text: Column) -> Column:
     for k, kind in enumerate(KINDS):
         for plain, pattern in ((True, BASE[kind]), (False, WIDE[kind])):
             parts.append(F.when(text.rlike(MAY[kind]) & text.rlike(pattern), F.transform(_matches(text, pattern), _described(k, kind, plain))))
-    empty = F.array().cast("array<struct<kind:int,start:bigint,stop:bigint,base:boolean,valid:boolean,plain:boolean,digits:int,luhn:int,octets:int,groups:int,before:int,after:int,context:int>>")
+    empty = F.array().cast("array<struct<kind:int,start:bigint,stop:bigint,base:boolean,valid:boolean,plain:boolean,loose:boolean,before:int,after:int,context:int,announced:int>>")
     return F.concat(*[F.coalesce(p, empty) for p in parts])
 
 
@@ -194,17 +198,28 @@ def boost(x: np.ndarray, n: np.ndarray, true: np.ndarray, *, rounds: int = 24, d
 
 
 def fit(docs: DataFrame) -> SpanModel | None:
-    """Fit on the candidates of every row of `docs` (doc_id, text)."""
-    found = docs.select((F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c"))
-    counted = found.groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(F.col("c.valid").cast("long")).alias("yes"))
-    rows = counted.orderBy("held", *FEATURES).collect()  # one row per feature vector
-    if not rows:
+    """Fit on the plain matches of every row of `docs` (doc_id, text)."""
+    plain = F.filter(candidates(F.coalesce(F.col("text"), F.lit(""))), lambda c: c["plain"])
+    found = docs.select((F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), F.explode(plain).alias("c"))
+    told = ("valid", "loose")
+    counted = found.groupBy("held", *[F.col(f"c.{f}").alias(f) for f in (*told, *FEATURES)]).agg(F.count("*").alias("n"))
+    rows = counted.orderBy("held", *told, *FEATURES).collect()  # one row per feature vector
+    table: dict[tuple, list[float]] = {}
+    for r in rows:
+        for k, kind in enumerate(KINDS):
+            own = r["kind"] == k
+            if own or r["valid"] or (r["loose"] and kind != "card"):
+                cell = table.setdefault((r["held"], k, r["before"], r["after"], r["context"], int(r["context"] == ANNOUNCES[k])), [0.0, 0.0])
+                cell[0] += r["n"]
+                cell[1] += r["n"] if own and r["valid"] else 0
+    if not table:
         return None
-    x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64)
-    n, yes, held = (np.array([r[c] for r in rows], float) for c in ("n", "yes", "held"))
-    own, check = held == 0, held == 1
+    x = np.array([key[1:] for key in table], np.int64)
+    n, yes = np.array(list(table.values())).T
+    held = np.array([key[0] for key in table], bool)
+    own, check = ~held, held
     if not own.any() or not check.any():
-        own = check = np.ones(len(rows), bool)
+        own = check = np.ones(len(x), bool)
     trees, bias = boost(x[own], n[own], yes[own])
     score = bias + sum(_walk(t, x[check]) for t in trees)
     slope, shift = _calibrate(score, n[check], yes[check])
@@ -212,8 +227,9 @@ def fit(docs: DataFrame) -> SpanModel | None:
     thresholds = {}
     for k in range(len(KINDS)):
         mine = x[check][:, 0] == k
-        levels = [t for t in np.unique(p[mine]) if (yes[check][mine & (p >= t)].sum() + 1) / (n[check][mine & (p >= t)].sum() + 1) >= PRECISION]
-        thresholds[k] = float(max(0.5, min(levels))) if levels else 0.95
+        # one wrong match more than there were: few matches show nothing
+        levels = [t for t in np.unique(p[mine]) if yes[check][mine & (p >= t)].sum() / (n[check][mine & (p >= t)].sum() + 1) >= PRECISION]
+        thresholds[k] = float(max(0.5, min([*levels, PRECISION])))
     return SpanModel(trees, bias, slope, shift, thresholds)
 
 
@@ -238,8 +254,8 @@ def _as_column(tree: Tree, c: Column) -> Column:
 
 
 def _added(all_: Column, model: SpanModel | None) -> Column:
-    """Wide candidates over their kind's threshold that overlap no base span,
-    nor an earlier added one."""
+    """Wide candidates over their kind's threshold that pass its check and
+    overlap no base span, nor an added one of a kind listed earlier."""
     base = F.filter(all_, lambda c: c["base"])
     wide = F.filter(all_, lambda c: ~c["plain"] & c["valid"])
     if model is None:
@@ -255,7 +271,9 @@ def _added(all_: Column, model: SpanModel | None) -> Column:
             least = F.when(c["kind"] == k, t).otherwise(least)
         return p >= least
 
-    return F.when(F.size(wide) == 0, wide).otherwise(_let(base, lambda b: F.filter(wide, lambda c: good(c) & ~F.exists(b, lambda o: (o["start"] < c["stop"]) & (c["start"] < o["stop"])))))
+    apart = lambda c, o: (o["start"] >= c["stop"]) | (c["start"] >= o["stop"])
+    free = _let(base, lambda b: F.filter(wide, lambda c: good(c) & F.forall(b, lambda o: apart(c, o))))
+    return F.when(F.size(wide) == 0, wide).otherwise(_let(free, lambda w: F.filter(w, lambda c: F.forall(w, lambda o: (o["kind"] >= c["kind"]) | apart(c, o)))))
 
 
 def spans_of(text: Column, model: SpanModel | None) -> Column:
