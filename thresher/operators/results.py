@@ -62,7 +62,7 @@ def normalised_rule_id(col: Column) -> Column:
     return F.coalesce(F.nullif(col, F.lit("")), F.lit("unknown"))
 
 
-def _newest(df: DataFrame, limit: int | None) -> DataFrame:
+def newest_windows(df: DataFrame, limit: int | None) -> DataFrame:
     """All rows, or with a limit the newest windows."""
     if limit is None:
         return df
@@ -74,7 +74,7 @@ def live_results(results: DataFrame, rule_id: str, limit: int | None = None) ->
     newest windows first."""
     if limit is not None and not 1 <= limit <= LIVE_MAX:
         raise ValueError(f"limit must be between 1 and {LIVE_MAX}")
-    return _newest(latest_versions(results.where(F.col("ruleId") == rule_id)), limit)
+    return newest_windows(latest_versions(results.where(F.col("ruleId") == rule_id)), limit)
 
 
 def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: int, now: dt.datetime,
@@ -85,7 +85,7 @@ def results_last_hours(results: DataFrame, rule_ids: list[str] | None, hours: in
     since = now - dt.timedelta(hours=hours)
     df = results if not rule_ids else results.where(F.col("ruleId").isin(rule_ids))
     df = latest_versions(df.where(window_start_between(since, None)))
-    return _newest(df, limit).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
+    return newest_windows(df, limit).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 
 def results_in_range(results: DataFrame, rule_ids: list[str], start_text: str, end_text: str,
@@ -96,7 +96,7 @@ def results_in_range(results: DataFrame, rule_ids: list[str], start_text: str, e
     if not rule_ids or not ok:
         return results.limit(0)
     df = results.where(F.col("ruleId").isin(rule_ids) & window_start_between(lo, hi))
-    return _newest(latest_versions(df), limit).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
+    return newest_windows(latest_versions(df), limit).withColumn("ruleId", normalised_rule_id(F.col("ruleId")))
 
 
 def group_detail(results: DataFrame, rule_id: str, group_key: str, start_text: str, end_text: str,
@@ -106,7 +106,7 @@ def group_detail(results: DataFrame, rule_id: str, group_key: str, start_text: s
     if not ok:
         return results.limit(0)
     df = results.where((F.col("ruleId") == rule_id) & (F.col("groupKey") == group_key) & window_start_between(lo, hi))
-    return _newest(latest_versions(df), limit)
+    return newest_windows(latest_versions(df), limit)
 
 
 def top_groups(results: DataFrame, rule_id: str, start_text: str, end_text: str,

@@ -6,6 +6,8 @@ from thresher.operators.livestate import upsert
 from thresher.operators.results import group_detail, live_results, results_in_range, results_last_hours, top_groups
 from thresher.plans.common import MESSAGES_CTE, NOW_UTC, messages
 from thresher.plans.registry import register, rounded
+from thresher.session import scratch_path
+from thresher.sources.latest_table import LatestTable
 
 COLS = ["ruleId", "groupKey", "windowStart", "windowEnd", "producedAt", "cnt", "total", "thresholdBreached",
         "isFinal", "seq"]
@@ -29,6 +31,35 @@ def results_live_newest(spark, sf_dir):
     return live_results(messages(spark, sf_dir), "R_USER_DAY", 100).select(*COLS)
 
 
+def _latest_table(spark, sf_dir) -> LatestTable:
+    """The messages as a stream in order of arrival, some micro-batches long,
+    folded into a table of latest versions."""
+    rows = messages(spark, sf_dir).select(*COLS)
+    rows.repartitionByRange(8, "seq").write.parquet(inbox := scratch_path(spark, "results-inbox"))
+    table = LatestTable(spark, scratch_path(spark, "results-latest"), rows.schema, buckets=4, base_every=3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    stream.writeStream.foreachBatch(table.fold).option("checkpointLocation", scratch_path(spark, "results-checkpoint")) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return table
+
+
+@register("results_latest_incremental", covers="S4 D6", sql=f"""
+WITH {MESSAGES_CTE}
+SELECT {_SEL} FROM latest""")
+def results_latest_incremental(spark, sf_dir):
+    """Every key's latest version, from a base and deltas by cell."""
+    return _latest_table(spark, sf_dir).read().select(*COLS)
+
+
+@register("results_newest_incremental", covers="O2 S4", sql=f"""
+WITH {MESSAGES_CTE}
+SELECT {_SEL} FROM latest WHERE ruleId = 'R_USER_DAY'
+ORDER BY windowStart DESC, ruleId, groupKey LIMIT 100""")
+def results_newest_incremental(spark, sf_dir):
+    """The newest hundred windows of a rule, read from its newest days alone."""
+    return _latest_table(spark, sf_dir).newest("R_USER_DAY", 100).select(*COLS)
+
+
 @register("results_multi_last_hours", covers="F21 O3 A18", sql=f"""
 WITH {MESSAGES_CTE}
 SELECT {_SEL} FROM latest

@@ -95,6 +95,12 @@ def finished_epochs(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the cluster's file system (Hadoop API)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the cluster's file system (Hadoop API)."""
     jvm = spark.sparkContext._jvm
