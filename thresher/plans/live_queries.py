@@ -13,6 +13,7 @@ from thresher.operators.livestate import (
 from thresher.operators.metrics import DEFAULT_BUCKETS, delay_histogram
 from thresher.plans.common import MESSAGES_CTE, messages
 from thresher.plans.registry import register, rounded
+from thresher.session import scratch_path
 from thresher.sources.results import (
     aggregate, anomaly_events, normalise_anomalies, normalise_results, raw_anomaly_json, raw_result_json,
 )
@@ -78,7 +79,9 @@ kept AS (SELECT * FROM upserted QUALIFY row_number() OVER (PARTITION BY ruleId O
 SELECT (SELECT COUNT(*) FROM kept) AS total_rows, (SELECT COUNT(DISTINCT ruleId) FROM kept) AS rules,
        (SELECT COUNT(*) FROM upserted) - (SELECT COUNT(*) FROM kept) AS dropped_rows""")
 def live_stats(spark, sf_dir):
-    up = upsert(messages(spark, sf_dir))
+    # counted three times over, so upserted once
+    upsert(messages(spark, sf_dir)).select("ruleId", "first_seq").write.parquet(stored := scratch_path(spark, "upserted"))
+    up = spark.read.parquet(stored)
     return stats(up, cap_per_rule(up, CAP))
 
 

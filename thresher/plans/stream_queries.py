@@ -10,12 +10,11 @@ applies the same bound.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from thresher.plans.common import MESSAGES_CTE, cond, events, group, local_sql, messages, rule
 from thresher.plans.registry import register, rounded
-from thresher.session import scratch_path
+from thresher.session import arrive, files_for, scratch_path
 from thresher.sources.results import aggregate, raw_result_json
 from thresher.spec import RuleSpec
 from thresher.operators.rulestore import lifecycle
@@ -142,18 +141,17 @@ FROM n
 QUALIFY row_number() OVER (PARTITION BY ruleId, groupKey, windowStart ORDER BY isFinal DESC, seq DESC) = 1""")
 def stream_live_state(spark, sf_dir):
     """Result messages land in four parts in arrival order; the stream takes
-    four files per micro-batch and merges each batch's changed keys into the
+    one part per micro-batch and merges each batch's changed keys into the
     view.  The final view must equal the batch upsert of all messages."""
     inbox = scratch_path(spark, "messages")
-    raw = raw_result_json(messages(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    top = raw.agg(F.max("seq")).first()[0]
+    raw = raw_result_json(messages(spark, sf_dir))
+    top, rows = raw.agg(F.max("seq"), F.count(F.lit(1))).first()
     step = top // 4 + 1
+    files = max(4, files_for(-(-rows // 4)))
     for i in range(4):  # sequential writes: file times follow arrival order
-        raw.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)).repartitionByRange(4, "seq") \
-            .write.mode("append").json(inbox)
-    raw.unpersist()
+        arrive(raw.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)), inbox, files, "json")
     merger = ViewMerger(scratch_path(spark, "view"))
-    stream = message_stream(spark, inbox, max_files_per_trigger=4).select(*STATE_COLS)
+    stream = message_stream(spark, inbox, max_files_per_trigger=files).select(*STATE_COLS)
     run_available(keyed_latest(stream), "update", scratch_path(spark, "view-ckpt"), merger)
     view = spark.read.parquet(merger.snapshot_path(merger.last_epoch))
     # cnt and total once more from the aggregates that the view carries, under whatever names

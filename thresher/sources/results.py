@@ -26,6 +26,7 @@ from thresher.functions.threshold import compile_threshold
 from thresher.functions.timeutil import bucket_start, to_local_text
 from thresher.operators.backtest import compile_rule, group_key_text
 from thresher.operators.running import running_sums
+from thresher.session import scratch_path
 from thresher.sources.events import STANDIN_SOURCE, EventSource, matched_events
 
 # Fixed values (stand-in): how far behind a re-delivered early-fire row
@@ -77,7 +78,10 @@ def result_messages(events: DataFrame, rules: list[LiveRule], start: dt.datetime
         F.col(source.order_col).alias("__order"), F.col(source.time_col).alias("__ts"),
         F.col("event_type").alias("__etype"),
         F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("__r"))
-    rows = tagged.select("__order", "__ts", "__etype", "__r.*")
+    # the running sums read the rows twice, so events are deduplicated and tagged once
+    spark = events.sparkSession
+    tagged.select("__order", "__ts", "__etype", "__r.*").write.parquet(stored := scratch_path(spark, "tagged-events"))
+    rows = spark.read.parquet(stored)
     kw = {"chunk_width": chunk_width} if chunk_width else {}
     run = running_sums(rows, ["ruleId", "groupKey", "ws"], "__order",
                        {"cnt": F.col("one"), "total": F.col("val")}, last_flag="isFinal", **kw)
