@@ -6,7 +6,7 @@ from thresher.operators.livestate import upsert
 from thresher.operators.results import group_detail, live_results, results_in_range, results_last_hours, top_groups
 from thresher.plans.common import MESSAGES_CTE, NOW_UTC, messages
 from thresher.plans.registry import register, rounded
-from thresher.session import scratch_path
+from thresher.session import files_for, scratch_path
 from thresher.sources.latest_table import LatestTable
 
 COLS = ["ruleId", "groupKey", "windowStart", "windowEnd", "producedAt", "cnt", "total", "thresholdBreached",
@@ -35,9 +35,10 @@ def _latest_table(spark, sf_dir) -> LatestTable:
     """The messages as a stream in order of arrival, some micro-batches long,
     folded into a table of latest versions."""
     rows = messages(spark, sf_dir).select(*COLS)
-    rows.repartitionByRange(8, "seq").write.parquet(inbox := scratch_path(spark, "results-inbox"))
+    files = files_for(-(-rows.count() // 8))  # as many tasks as a micro-batch is large
+    rows.repartitionByRange(8 * files, "seq").write.parquet(inbox := scratch_path(spark, "results-inbox"))
     table = LatestTable(spark, scratch_path(spark, "results-latest"), rows.schema, buckets=4, base_every=3)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(inbox)
     stream.writeStream.foreachBatch(table.fold).option("checkpointLocation", scratch_path(spark, "results-checkpoint")) \
         .trigger(availableNow=True).start().awaitTermination()
     return table
